@@ -20,8 +20,9 @@ def guard(hits: DataFrame, fraction: float = 0.10) -> DataFrame:
 def dedupe(offsets: DataFrame, keys: tuple[str, ...], offset: str = "offset", radius: int = RADIUS) -> DataFrame:
     """One row for each chain of offsets no more than `radius` apart, at its mean rounded half to even."""
     order = Window.partitionBy(*keys).orderBy(offset)
+    # the sum's frame takes in equal offsets, so that copies of one stay in one chain
     fresh = F.when(F.col(offset) - F.lag(offset).over(order) <= radius, 0).otherwise(1)
-    chained = offsets.withColumn("_new", fresh).withColumn("_chain", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chained = offsets.withColumn("_new", fresh).withColumn("_chain", F.sum("_new").over(order))
     return chained.groupBy(*keys, "_chain").agg(F.bround(F.avg(offset)).cast("bigint").alias(offset)).drop("_chain")
 
 

@@ -47,7 +47,7 @@ WITH {BASE}, e AS (
 ), o AS (
   SELECT record_id, n_cuts, index, word_start, word_end, text, CAST(sum(length(text)) OVER (PARTITION BY record_id ORDER BY index) AS BIGINT) AS char_end FROM s
 )"""
-_SEGMENT_COLUMNS = "record_id || '#' || lpad(CAST(index AS VARCHAR), greatest(3, length(CAST(index AS VARCHAR))), '0') AS segment_id, record_id, index, word_start, word_end, char_end - length(text) AS char_start, char_end, word_end - word_start AS n_words, n_cuts"
+_SEGMENT_COLUMNS = "record_id || '#' || lpad(CAST(index AS VARCHAR), CAST(greatest(3, length(CAST(index AS VARCHAR))) AS INTEGER), '0') AS segment_id, record_id, index, word_start, word_end, char_end - length(text) AS char_start, char_end, word_end - word_start AS n_words, n_cuts"
 _FLAG = "CASE WHEN word_end = word_start THEN 'empty' WHEN word_end - word_start < 8 THEN 'short' ELSE '' END"
 
 
@@ -270,7 +270,7 @@ def ship_gate(spark, sf_dir):
 _CHAIN = """
 fired AS (SELECT record_id{key}, unnest(breaks) AS b FROM {source}),
 c1 AS (SELECT *, CASE WHEN b - lag(b) OVER (PARTITION BY record_id{key} ORDER BY b) <= 25 THEN 0 ELSE 1 END AS fresh FROM fired),
-c2 AS (SELECT *, sum(fresh) OVER (PARTITION BY record_id{key} ORDER BY b ROWS UNBOUNDED PRECEDING) AS chain FROM c1),
+c2 AS (SELECT *, sum(fresh) OVER (PARTITION BY record_id{key} ORDER BY b) AS chain FROM c1),
 c3 AS (SELECT record_id{key}, CAST(round_even(avg(b), 0) AS BIGINT) AS b FROM c2 GROUP BY record_id{key}, chain)"""
 
 
@@ -322,7 +322,8 @@ def greedy_would_fire(spark, sf_dir):
 SELECT record_id, word_start, local, (NOT is_first AND local < 20) OR (NOT is_last AND local > n_words - 20) AS guarded, (is_first AND local = 0) OR (is_last AND local = n_words) AS degenerate FROM h""")
 def guard_filter(spark, sf_dir):
     w = scored_windows(spark, sf_dir).join(transcripts(spark, sf_dir).select("record_id", "n"), "record_id")
-    hits = w.select("record_id", "word_start", (F.explode("breaks") - F.col("word_start")).alias("local"), F.lit(200).cast("bigint").alias("n_words"), (F.col("word_start") == 0).alias("is_first"), (F.col("word_start") + 200 >= F.col("n")).alias("is_last"))
+    w = w.withColumn("b", F.explode("breaks"))
+    hits = w.select("record_id", "word_start", (F.col("b") - F.col("word_start")).alias("local"), F.lit(200).cast("bigint").alias("n_words"), (F.col("word_start") == 0).alias("is_first"), (F.col("word_start") + 200 >= F.col("n")).alias("is_last"))
     return postprocess.guard(hits).select("record_id", "word_start", "local", "guarded", "degenerate")
 
 
@@ -349,7 +350,7 @@ def _starts_sql(window: str, stride: str, advance: str) -> str:
 
 
 _GRID = f"""{_MAPS}, g1 AS (SELECT *, w2t[len(w2t)] AS nt FROM m), g2 AS (SELECT *, {_starts_sql('512', '256', '64')} AS starts FROM g1),
-g3 AS (SELECT *, i - 1 AS window, starts[i] AS token_start, least(starts[i] + 512, nt) AS token_end, i = 1 AS is_first, i = len(starts) AS is_last FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS i FROM g2)),
+g3 AS (SELECT *, i - 1 AS win, starts[i] AS token_start, least(starts[i] + 512, nt) AS token_end, i = 1 AS is_first, i = len(starts) AS is_last FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS i FROM g2)),
 g AS (SELECT *, len(list_filter(w2t, lambda x: x < token_start)) AS word_start, len(list_filter(w2t, lambda x: x < token_end)) AS word_end FROM g3)"""
 
 
@@ -362,7 +363,7 @@ def word_to_token_index(spark, sf_dir):
     return _maps(spark, sf_dir).select("record_id", F.posexplode("w2t").alias("word", "token")).select("record_id", F.col("word").cast("bigint").alias("word"), F.col("token").cast("bigint").alias("token"))
 
 
-@query(f"{_GRID} SELECT record_id, window, token_start, token_end, word_start, word_end, is_first, is_last, array_to_string(list_slice(words, word_start + 1, word_end), ' ') AS words FROM g WHERE word_end > word_start")
+@query(f"{_GRID} SELECT record_id, win AS \"window\", token_start, token_end, word_start, word_end, is_first, is_last, array_to_string(list_slice(words, word_start + 1, word_end), ' ') AS words FROM g WHERE word_end > word_start")
 def window_grid(spark, sf_dir):
     """Sliding windows of 512 tokens over every document."""
     w = windows.enumerate_windows(_maps(spark, sf_dir), _GEOMETRY)
@@ -378,7 +379,7 @@ def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOCAL = f"""{_GRID}, x AS (
-  SELECT record_id, window, word_start, word_end - word_start AS nw, is_first, is_last, list_slice(words, word_start + 1, word_end) AS ws,
+  SELECT record_id, win, word_start, word_end - word_start AS nw, is_first, is_last, list_slice(words, word_start + 1, word_end) AS ws,
          list_transform(list_filter(breaks, lambda b: b > word_start AND b < word_end), lambda b: b - word_start) AS local FROM g WHERE word_end > word_start
 )"""
 _PRE, _POST = "list_slice(ws, greatest(b - 12, 0) + 1, b)", "list_slice(ws, b + 1, b + 8)"
@@ -389,21 +390,21 @@ _HITS = """y AS (
 )""".format(pre=_PRE, post=_POST)
 
 
-@query(f"""{_LOCAL}, {_HITS}, l AS (SELECT record_id, window, string_agg(CAST(ordinal AS VARCHAR) || '. ' || array_to_string(pre, ' ') || ' <|STORY_BREAK|> ' || array_to_string(post, ' '), chr(10) ORDER BY ordinal) AS target_text FROM y GROUP BY record_id, window)
-SELECT x.record_id, x.window, coalesce(target_text, 'NONE') AS target_text FROM x LEFT JOIN l USING (record_id, window)""")
+@query(f"""{_LOCAL}, {_HITS}, l AS (SELECT record_id, win, string_agg(CAST(ordinal AS VARCHAR) || '. ' || array_to_string(pre, ' ') || ' <|STORY_BREAK|> ' || array_to_string(post, ' '), chr(10) ORDER BY ordinal) AS target_text FROM y GROUP BY record_id, win)
+SELECT x.record_id, x.win AS "window", coalesce(target_text, 'NONE') AS target_text FROM x LEFT JOIN l USING (record_id, win)""")
 def training_targets(spark, sf_dir):
     """What a model should write for each window."""
     return _anchored(spark, sf_dir).select("record_id", F.col("window").cast("bigint").alias("window"), F.col("generated").alias("target_text"))
 
 
-@query(f"{_LOCAL}, {_HITS} SELECT record_id, window, ordinal - 1 AS ordinal, array_to_string(pre, ' ') AS pre, array_to_string(post, ' ') AS post FROM y")
+@query(f"{_LOCAL}, {_HITS} SELECT record_id, win AS \"window\", ordinal - 1 AS ordinal, array_to_string(pre, ' ') AS pre, array_to_string(post, ' ') AS post FROM y")
 def parse_anchors(spark, sf_dir):
     """Targets parsed again."""
     a = _anchored(spark, sf_dir).select("record_id", "window", F.posexplode(A.parse_anchors(F.col("generated"))).alias("ordinal", "a"))
     return a.select("record_id", F.col("window").cast("bigint").alias("window"), F.col("ordinal").cast("bigint").alias("ordinal"), "a.pre", "a.post")
 
 
-@query(f"{_LOCAL}, {_HITS} SELECT record_id, window, ordinal - 1 AS ordinal, hits[1] + len(pre) AS \"offset\", len(hits) > 1 AS ambiguous FROM z")
+@query(f"{_LOCAL}, {_HITS} SELECT record_id, win AS \"window\", ordinal - 1 AS ordinal, hits[1] + len(pre) AS \"offset\", len(hits) > 1 AS ambiguous FROM z")
 def localize_anchors(spark, sf_dir):
     """Parsed anchors grounded in their windows."""
     hits = F.transform(A.parse_anchors(F.col("generated")), lambda a: A.localize(F.col("words"), a["pre"], a["post"]))
@@ -413,8 +414,8 @@ def localize_anchors(spark, sf_dir):
 
 @query(f"""{_LOCAL}, {_HITS}, q AS (SELECT *, hits[1] + len(pre) AS o, len(hits) > 1 AS amb, CAST(floor(0.1::DOUBLE * nw) AS BIGINT) AS mar FROM z),
 q2 AS (SELECT *, (NOT is_first AND o < mar) OR (NOT is_last AND o > nw - mar) AS guarded, (is_first AND o = 0) OR (is_last AND o = nw) AS bad FROM q),
-q3 AS (SELECT record_id, window, list(word_start + o ORDER BY ordinal) FILTER (WHERE NOT guarded AND NOT bad) AS br, count(*) FILTER (WHERE amb) AS ambiguous, count(*) FILTER (WHERE NOT guarded AND bad) AS degenerate FROM q2 GROUP BY record_id, window)
-SELECT x.record_id, x.word_start, coalesce(array_to_string(br, ','), '') AS breaks, coalesce(ambiguous, 0) AS ambiguous, coalesce(degenerate, 0) AS degenerate, CAST(0 AS BIGINT) AS unlocatable FROM x LEFT JOIN q3 USING (record_id, window)""")
+q3 AS (SELECT record_id, win, list(word_start + o ORDER BY ordinal) FILTER (WHERE NOT guarded AND NOT bad) AS br, count(*) FILTER (WHERE amb) AS ambiguous, count(*) FILTER (WHERE NOT guarded AND bad) AS degenerate FROM q2 GROUP BY record_id, win)
+SELECT x.record_id, x.word_start, coalesce(array_to_string(br, ','), '') AS breaks, coalesce(ambiguous, 0) AS ambiguous, coalesce(degenerate, 0) AS degenerate, CAST(0 AS BIGINT) AS unlocatable FROM x LEFT JOIN q3 USING (record_id, win)""")
 def window_scores(spark, sf_dir):
     """Anchors parsed, grounded, guarded and counted for every window."""
     made = _anchored(spark, sf_dir).withColumns({"p_break": F.lit(1.0), "p_none": F.lit(0.0)})
@@ -440,7 +441,7 @@ def _two_runs(spark: SparkSession, sf_dir: str, overlap: float = 0.6) -> DataFra
     return reconcile.reconcile(cut("run_a"), cut("run_b"), min_overlap=overlap)
 
 
-_SID = "record_id || '#' || lpad(CAST({i} AS VARCHAR), greatest(3, length(CAST({i} AS VARCHAR))), '0')"
+_SID = "record_id || '#' || lpad(CAST({i} AS VARCHAR), CAST(greatest(3, length(CAST({i} AS VARCHAR))) AS INTEGER), '0')"
 
 
 def _side(run: str) -> str:

@@ -1,0 +1,213 @@
+"""Small inputs with known answers."""
+
+import json
+import struct
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from newsloom.functions import anchors as A
+from newsloom.functions import scoring as S
+from newsloom.functions import text as T
+from newsloom.operators import metrics, postprocess, reconcile, segments, validation, windows
+from newsloom.sources import adapter, jsonl
+
+BODY = "alpha bravo charlie delta echo foxtrot golf hotel india juliet"
+MESSY = "  alpha bravo\n\ncharlie   delta\techo  "
+LONGS = "array<bigint>"
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+
+
+def longs(*values):
+    return F.array(*map(F.lit, values)).cast(LONGS)
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "record_id string, body string, breaks array<bigint>")
+
+
+def cut(spark, breaks, body=BODY, **kw):
+    return segments.to_segments(docs(spark, [("r", body, breaks)]), **kw)
+
+
+def test_words_split_like_unicode_white_space(spark):
+    spaces = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    near = ["​", "᠎", "﻿", "⁠", "\x1b", "\x84"]
+    for c in [*spaces, *near]:
+        text = f"a{c}b"
+        assert list(one(spark, T.words(F.lit(text)))[0]) == text.split(), hex(ord(c)) if spark else None
+        if c == spaces[3]:
+            break
+    text = "x".join(["", *spaces, *near, ""])
+    assert list(one(spark, T.words(F.lit(text)))[0]) == text.split()
+
+
+@pytest.mark.parametrize(("n", "starts"), [(500, [0]), (3072, [0]), (6144, [0, 1536, 3072]), (4000, [0, 928]), (8000, [0, 1536, 3072, 4608, 4928]), (4708, [0, 1536])])
+def test_window_starts(spark, n, starts):
+    assert list(one(spark, S.window_starts(F.lit(n), 3072, 1536, 256))[0]) == starts
+
+
+def test_dedupe(spark):
+    rows = spark.createDataFrame([("r", x) for x in (10, 12, 40, 41, 42, 500)], "record_id string, offset bigint")
+    assert sorted(r.offset for r in postprocess.dedupe(rows, ("record_id",)).collect()) == [11, 41, 500]
+
+
+def test_dedupe_keeps_copies_of_an_offset_together(spark):
+    rows = spark.createDataFrame([("r", x) for x in (10, 100, 100, 100)], "record_id string, offset bigint")
+    assert sorted(r.offset for r in postprocess.dedupe(rows, ("record_id",)).collect()) == [10, 100]
+
+
+@pytest.mark.parametrize(("gold", "pred", "tolerance", "pairs"), [([100], [120], 25, [(100, 120)]), ([100], [126], 25, []), ([100], [98, 102], 25, [(100, 98)]), ([100, 200], [101, 210], 100, [(100, 101), (200, 210)]), ([100], [], 25, []), ([], [5], 25, [])])
+def test_match(spark, gold, pred, tolerance, pairs):
+    m = one(spark, S.match(longs(*gold), longs(*pred), tolerance))[0]
+    assert [tuple(p) for p in m.pairs] == pairs
+    assert (m.n_missed, m.n_spurious) == (len(gold) - len(pairs), len(pred) - len(pairs))
+
+
+def test_prf(spark):
+    rates = S.prf(F.lit(51), F.lit(13), F.lit(35))
+    assert [round(x, 3) for x in one(spark, rates["precision"], rates["recall"], rates["f1"])] == [0.593, 0.797, 0.680]
+
+
+def test_baseline_uniform(spark):
+    assert list(one(spark, S.baseline_uniform(longs(1, 2, 3), F.lit(1000)))[0]) == [250, 500, 750]
+    assert list(one(spark, S.baseline_uniform(longs(), F.lit(1000)))[0]) == []
+
+
+def test_spans(spark):
+    found = one(spark, S.spans(longs(30, 70), F.lit(100)), S.spans(longs(), F.lit(100)), S.spans(longs(), F.lit(0)))
+    assert [[tuple(x) for x in part] for part in found] == [[(0, 30), (30, 70), (70, 100)], [(0, 100)], []]
+
+
+def test_pk_windowdiff(spark):
+    rows = spark.createDataFrame([("a", [500], [500], 1000), ("b", [500], [520], 1000), ("c", [500], [], 1000)], "record_id string, breaks array<bigint>, pred_breaks array<bigint>, word_count bigint")
+    got = {r.record_id: (r.pk, r.wd) for r in metrics.pk_windowdiff(rows).collect()}
+    assert got["a"] == (0, 0) and 0 < got["b"][0] < 0.25 and got["c"][0] > got["b"][0]
+
+
+def test_segments(spark):
+    rows = cut(spark, [7, 3, 3], min_words=4).orderBy("index").collect()
+    assert [(r.word_start, r.word_end, list(r.flags), r.n_cuts) for r in rows] == [(0, 3, ["short"], 2), (3, 7, [], 2), (7, 10, ["short"], 2)]
+    assert [r.segment_id for r in rows] == ["r#000", "r#001", "r#002"]
+    assert "".join(r.text for r in rows) == BODY and rows[-1].char_end == len(BODY)
+
+
+@pytest.mark.parametrize("bad", [0, 10, 11, -1])
+def test_bad_breaks(spark, bad):
+    table = docs(spark, [("r", BODY, [bad]), ("ok", BODY, [5])])
+    assert [r.record_id for r in segments.segment_errors(table).collect()] == ["r"]
+    assert {r.record_id for r in segments.to_segments(table).collect()} == {"ok"}
+
+
+@pytest.mark.parametrize("body", ["", "   ", "\n\t ", "single", "a b", "  leading", "trailing  ", MESSY, "a \U0001f600 b%{}# c"])
+def test_round_trip(spark, body):
+    n = len(body.split())
+    merged = segments.merge_strict(cut(spark, list(range(1, n)), body)).collect()
+    assert [(r.body, r.word_count) for r in merged] == [(body, n)]
+
+
+def test_merge_refusals(spark):
+    rows = cut(spark, [3, 7])
+    error = lambda df, **kw: segments.merge_segments(df, **kw).first().error
+    assert error(rows) is None
+    assert "missing" in error(rows.where("index <> 1")) and "no text" in error(rows.withColumn("text", F.lit("")))
+    assert "modified" in error(rows.withColumn("text", F.trim("text")))
+    assert error(rows.where("index < 2")) is None and "last" in error(rows.where("index < 2"), check_tail=True)
+    with pytest.raises(ValueError):
+        segments.require_full(segments.minimal(rows))
+
+
+def test_segment_ids(spark):
+    found = one(spark, T.segment_id(F.lit("a"), F.lit(1234)), T.parse_segment_id(F.lit("a#b#042")), T.parse_segment_id(F.lit("a")))
+    assert found[0] == "a#1234" and tuple(found[1]) == ("a#b", 42) and found[2] is None
+    with pytest.raises(PySparkException):
+        one(spark, T.segment_id(F.lit("a#b"), F.lit(1)))
+
+
+@pytest.mark.parametrize(("old", "new", "want"), [([3, 7], [3, 7], [("same", 0)] * 3), ([3, 7], [4, 7], [("moved", 0), ("moved", 1), ("same", 0)]), ([3], [3, 7], [("same", 0), ("split", 0), ("split", 4)]), ([3, 7], [7], [("merged", 0), ("merged", -3), ("same", 0)])])
+def test_reconcile(spark, old, new, want):
+    rows = reconcile.reconcile(cut(spark, old), cut(spark, new)).orderBy("ordinal").collect()
+    assert sorted((r.status, abs(r.start_shift)) for r in rows) == sorted((s, abs(d)) for s, d in want)
+
+
+def test_reconcile_empty_body(spark):
+    assert [r.status for r in reconcile.reconcile(cut(spark, [], ""), cut(spark, [], "")).collect()] == ["same"]
+
+
+def test_parse_anchors(spark):
+    texts = ["NONE", "1. alpha bravo <|STORY_BREAK|> charlie delta", "no marker", " <|STORY_BREAK|> x"]
+    assert [[tuple(a) for a in x] for x in one(spark, *[A.parse_anchors(F.lit(t)) for t in texts])] == [[], [("alpha bravo", "charlie delta")], [], []]
+
+
+def test_localize(spark):
+    words = F.split(F.lit("a b c x a b c y"), " ")
+    loose, strict = one(spark, A.localize(words, F.lit("a b c"), F.lit("zz")), A.localize(words, F.lit("a b c"), F.lit("zz"), strict=True))
+    assert tuple(loose) == (3, True) and strict.offset is None
+
+
+def test_align_keeps_gold_as_the_denominator(spark):
+    gold = spark.createDataFrame([("a", [10]), ("b", [20])], "record_id string, breaks array<bigint>")
+    pred = spark.createDataFrame([("a", [10]), ("z", [1])], "record_id string, pred_breaks array<bigint>")
+    r = metrics.pool(metrics.match_documents(metrics.align(gold, pred))).first()
+    assert (r.tp, r.fn, r.fp) == (1, 1, 0) and round(r.f1, 3) == 0.667
+    assert [x.record_id for x in metrics.orphans(gold, pred).collect()] == ["z"]
+
+
+def test_scorer_errors_are_rows(spark):
+    table = spark.createDataFrame([("a", "one two. Three four", 4), ("b", "boom", 1)], "record_id string, body string, word_count bigint")
+
+    def scorer(frame):
+        if frame["prompt"].str.contains("boom").any():
+            raise RuntimeError("no")
+        return windows.rule_scorer()(frame)
+
+    w = windows.enumerate_windows(windows.token_maps(table), windows.Geometry(64, 32, 8), A.PromptSpec())
+    rows = windows.run_scorer(w, scorer, windows.DecodeSpec(gen_batch_size=1)).collect()
+    assert {r.record_id: r.error for r in rows} == {"a": None, "b": "RuntimeError: no"}
+
+
+def test_strict_reading(spark, tmp_path):
+    lines = [{"record_id": "ok", "body": "a b", "pred_breaks": [1]}, {"record_id": "n", "body": 12345, "pred_breaks": [1]}, {"record_id": "f", "body": "a", "pred_breaks": [1.5]}, {"record_id": "s", "body": "a", "pred_breaks": ["3"]}, {"record_id": "m", "pred_breaks": []}]
+    (tmp_path / "x.jsonl").write_text("\n\n".join(map(json.dumps, lines)) + "\n{bad\n")
+    rows = jsonl.read_strict(spark, str(tmp_path / "x.jsonl"), {"body": "string", "pred_breaks": LONGS}).collect()
+    assert [r.record_id for r in rows if r.error is None] == ["ok"] and len(rows) == 6
+    assert [r.line for r in jsonl.problems(spark, str(tmp_path / "x.jsonl")).collect()] == ["{bad"]
+
+
+def test_union_annotations_first_wins(spark):
+    a = spark.createDataFrame([("x", [1])], "record_id string, breaks array<bigint>")
+    b = spark.createDataFrame([("x", [2]), ("y", [3])], "record_id string, breaks array<bigint>")
+    rows = {r.record_id: (list(r.breaks), r.heldout) for r in jsonl.union_annotations([(a, False), (b, True)]).collect()}
+    assert rows == {"x": ([1], False), "y": ([3], True)}
+
+
+def test_structural_problems(spark):
+    rows = spark.createDataFrame([("r", "C", 10, [1, 1])], "record_id string, category string, word_count bigint, breaks array<bigint>")
+    assert {r.problem for r in validation.structural(rows, "annotation").collect()} == {"breaks repeat", "category doesn't fit the breaks"}
+
+
+def test_adapter_files(tmp_path):
+    assert "missing" in adapter.verify(tmp_path)[0]
+    (tmp_path / adapter.CONFIG).write_text(json.dumps({"window_tokens": 3072, "stride_tokens": 1536, "edge_guard_lo": 200}))
+    assert adapter.geometry(tmp_path).window_tokens == 3072 and adapter.prompt(tmp_path).anchor_pre_words == 12
+    with pytest.raises(ValueError):
+        adapter.geometry(tmp_path, window_tokens=1)
+    header = json.dumps({"__metadata__": {}, "base.lm_head.token_adapter.trainable_tokens_delta": {}}).encode()
+    (tmp_path / adapter.WEIGHTS).write_bytes(struct.pack("<Q", len(header)) + header)
+    (tmp_path / adapter.SETUP).write_text("{}")
+    assert any("embed_tokens" in x for x in adapter.verify(tmp_path))
+
+
+def test_streaming_segments(spark, tmp_path):
+    from newsloom.streaming import transcripts
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"record_id": "r", "body": BODY, "word_count": 10, "breaks": [3, 7]}))
+    got = []
+    stream = transcripts.segments(transcripts.read(spark, str(tmp_path / "in")))
+    transcripts.write(stream, lambda df, _: got.extend(r.segment_id for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(got) == ["r#000", "r#001", "r#002"]
