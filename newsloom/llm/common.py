@@ -48,6 +48,11 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def plain(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """docs with columns named c0, c1, ..., so that no name of an operator's own can clash, and what some are now called."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), [f"c{docs.columns.index(c)}" for c in columns]
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns, by fixed names, so that no other column of the input can clash."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Tables, documents
+from newsloom.llm.common import Tables, documents, plain
 
 #: A repeated run is deleted from this many lines on; RUN is fixed by the depth of the first round.
 RUN = 2
@@ -108,6 +108,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, text (null if nothing is left) of the rows with a text."""
+    docs, (id_col, text_col) = plain(docs, id_col, text_col)
     joined = _joined(docs, id_col, text_col).where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col("_line_gone").alias("gone"))
 
     def stage(batches):
@@ -125,6 +126,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the text that is left; rows of which nothing is left go."""
     at = docs.columns.index(text_col)
+    names = docs.columns
     sizes = [i for i, f in enumerate(docs.schema) if f.name == "n_chars" and f.dataType.typeName() in ("integer", "long")]
 
     def stage(batches):
@@ -148,7 +150,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             else:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return _joined(docs, id_col, text_col).select(*[docs[c] for c in docs.columns], "_line_gone").mapInArrow(stage, docs.schema)
+    docs, (id_col, text_col) = plain(docs, id_col, text_col)
+    return _joined(docs, id_col, text_col).select(*docs.columns, "_line_gone").mapInArrow(stage, docs.schema).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Tables, documents
+from newsloom.llm.common import Tables, documents, plain
 
 TEMPERATURE, BLOCK, SHARD, SEED = 0.7, 4, 4096, 1
 #: Hash buckets of a source, a power of 2.
@@ -92,6 +92,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     """The drawn rows of docs with mix_shard and mix_position (from 0, the shuffled order within the shard)."""
     spark = docs.sparkSession
     tables = Tables(spark, "mixing")
+    names_out = [c for c in docs.columns if c.lower() not in ("mix_shard", "mix_position")]
+    out_columns = [f"c{i}" for i, c in enumerate(docs.columns) if c in names_out]
+    docs, (id_col, source_col) = plain(docs, id_col, source_col)
     source, key, hashed = _keyed(docs, id_col, source_col)
     shift = 64 - BUCKETS.bit_length() + 1
     keys = tables.put(docs.select(source.alias("src"), key.alias("id"), hashed.alias("h")).where("id is not null").distinct().withColumn("bucket", F.shiftright("h", shift)))
@@ -102,10 +105,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     share = {_NULL if s is None else s: w for s, w in weights.items()} if weights else {s: n**TEMPERATURE for s, n in sizes.items()}
     quota = quotas(whole, share)
     names = sorted(quota)
-    out_columns = [c for c in docs.columns if c.lower() not in ("mix_shard", "mix_position")]
+    named = lambda df: df.select(*out_columns, "mix_shard", "mix_position").toDF(*names_out, "mix_shard", "mix_position")
     total = sum(quota.values())
     if not total:
-        return docs.select(*out_columns, F.lit(0).cast("int").alias("mix_shard"), F.lit(0).cast("bigint").alias("mix_position")).where("false")
+        return named(docs.select(*out_columns, F.lit(0).cast("int").alias("mix_shard"), F.lit(0).cast("bigint").alias("mix_position")).where("false"))
     shards = max(1, round(total * block / shard))
     parts = split(np.array([quota[s] for s in names]), shards, seed)
     starts = np.vstack([np.zeros((1, len(names)), np.int64), np.cumsum(parts, axis=0)]) * block
@@ -132,7 +135,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     passed = F.filter("_mix_bounds", lambda b: (b["h"] < F.col("_mix_h")) | ((b["h"] == F.col("_mix_h")) & (b["id"] <= F.col("_mix_id"))))
     found = found.withColumn("_mix_passed", passed).withColumn("mix_shard", F.when(F.size("_mix_passed") > 0, F.element_at("_mix_passed", -1)["shard"]).otherwise(F.col("_mix_base"))).where(f"mix_shard >= 0 and mix_shard < {shards}")
     order = Window.partitionBy("mix_shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("_mix_h")), "_mix_id")
-    return found.withColumn("mix_position", (F.row_number().over(order) - 1).cast("bigint")).select(*out_columns, "mix_shard", "mix_position")
+    return named(found.withColumn("mix_position", (F.row_number().over(order) - 1).cast("bigint")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
