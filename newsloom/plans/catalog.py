@@ -631,8 +631,8 @@ def mine_errors(spark, sf_dir):
     return training.mine_errors(t)
 
 
-@query(f"""{_MINE} SELECT record_id, at, kind, gold, model, off FROM (
-  SELECT record_id, least(breaks[ug[i]], run_a[up[i]]) AS at, 'match' AS kind, breaks[ug[i]] AS gold, run_a[up[i]] AS model, abs(breaks[ug[i]] - run_a[up[i]]) AS off FROM (SELECT record_id, ug, up, unnest(range(1, len(ug) + 1)) AS i FROM used) JOIN t USING (record_id)
+@query(f"""{_MINE} SELECT record_id, "at", kind, gold, model, off FROM (
+  SELECT record_id, least(breaks[ug[i]], run_a[up[i]]) AS "at", 'match' AS kind, breaks[ug[i]] AS gold, run_a[up[i]] AS model, abs(breaks[ug[i]] - run_a[up[i]]) AS off FROM (SELECT record_id, ug, up, unnest(range(1, len(ug) + 1)) AS i FROM used) JOIN t USING (record_id)
   UNION ALL SELECT record_id, word_offset, 'extra', NULL, word_offset, NULL FROM e WHERE kind = 'false_positive'
   UNION ALL SELECT record_id, word_offset, 'missed', word_offset, NULL, NULL FROM e WHERE kind = 'false_negative')""")
 def review_events(spark, sf_dir):
