@@ -1,15 +1,19 @@
 """Mixing sources to target weights by a hypergeometric splitting tree (operator 10).
 
 The unit is a document key (source, doc_id).  Keys are permuted within their
-source by a keyed hash and cut into blocks of BLOCK keys.  The quotas are exact:
-the largest number of blocks N such that no source is asked for more than it
-has, shared out by the weights with largest remainders.  The quota vector is
+source by a keyed hash and cut into blocks of BLOCK keys; the last block of a
+source may be smaller.  The quotas are exact.  A target size is shared out by the
+weights; a source that has less gives all it has, and the others make up for it
+by their weights (water-filling, largest remainders).  Weights without a target
+are kept exactly, in whole blocks: the largest number of blocks N such that no
+source is asked for more than it has.  The quota vector is
 split over the output shards by a binary tree: a node with m shards gives m // 2
 of them that part of its blocks, drawn by a multivariate hypergeometric
 distribution, so that every shard has its exact size (to one block) and a random
 composition whose sum over shards is the quota.  Since the hash has permuted the
 documents before blocks were cut, taking a source's blocks in order is drawing
-disjoint blocks at random.  Within a shard rows are shuffled by a second hash.
+disjoint blocks at random; the smaller last block of a source makes its shard
+smaller by what it lacks.  Within a shard rows are shuffled by a second hash.
 
 Plan.  Only (source, id, hash) is shuffled for ranking, in hash buckets, so that
 a hot source isn't one task.  Where each shard begins in each source becomes a
@@ -18,12 +22,16 @@ SOURCES x BUCKETS rows (broadcast if it has at most BROADCAST entries, joined
 otherwise).  Texts are shuffled once, to their shards.
 
 Without weights, a source's weight is its number of keys to the power
-TEMPERATURE over that of all.
+TEMPERATURE over that of all.  Without a target either, each source is asked for
+its weight's share of as many keys as the input has and gives what it has of
+that: no source bounds another, small sources stay whole, equal sources give all,
+and only sources above their weight are thinned out to it.
 
 Cases.  A null source is a source of its own.  Rows with a null id are left out:
 they can't be drawn reproducibly.  Rows that repeat a key travel together and
-count once.  A source of weight 0 or without a weight is left out; an empty
-input gives an empty result.  Columns named mix_shard or mix_position are
+count once.  A source of weight 0 or without a weight is left out, and so is one
+of less than a block if weights are given without a target; a target beyond what
+there is draws all.  An empty input gives an empty result.  Columns named mix_shard or mix_position are
 replaced; others are returned as they are.
 """
 
@@ -64,6 +72,27 @@ def quotas(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
     return out
 
 
+def fill(sizes: dict[str, int], weights: dict[str, float], target: int) -> dict[str, int]:
+    """Exact numbers of keys by source that add up to the target, or to all there are; what a source lacks, the others give by their weights."""
+    share = {s: w for s, w in weights.items() if w > 0 and sizes.get(s, 0) > 0}
+    left = min(target, sum(sizes[s] for s in share))
+    order = sorted(share, key=lambda s: (sizes[s] / share[s], s))
+    # the weight of a source and of all that run out after it
+    behind = dict(zip(order, np.cumsum([share[s] for s in reversed(order)])[::-1].tolist(), strict=True))
+    out: dict[str, int] = {}
+    for k, s in enumerate(order):
+        if sizes[s] * behind[s] > left * share[s]:
+            exact = {x: left * share[x] / behind[s] for x in order[k:]}
+            out |= {x: min(math.floor(v), sizes[x]) for x, v in exact.items()}
+            left -= sum(out[x] for x in exact)
+            for x in sorted(exact, key=lambda x: (out[x] - exact[x], x)):
+                if left and out[x] < sizes[x]:
+                    out[x], left = out[x] + 1, left - 1
+            return out
+        out[s], left = sizes[s], left - sizes[s]
+    return out
+
+
 def split(quota: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     """(shards, sources) blocks; rows differ by at most one in size per level of rounding, columns sum to the quota."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -88,7 +117,7 @@ def _keyed(docs: DataFrame, id_col: str, source_col: str) -> tuple:
     return source, F.col(id_col).cast("bigint"), F.xxhash64(F.lit(SEED), F.col(id_col).cast("bigint"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, shard: int = SHARD, seed: int = SEED, target: int | None = None) -> DataFrame:
     """The drawn rows of docs with mix_shard and mix_position (from 0, the shuffled order within the shard)."""
     spark = docs.sparkSession
     tables = Tables(spark, "mixing")
@@ -101,18 +130,26 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     counted = keys.groupBy("src", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counted.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sizes = {r["src"]: r["n"] for r in counted.groupBy("src").agg(F.sum("n").alias("n")).collect()}
-    whole = {s: n // block for s, n in sizes.items()}
     share = {_NULL if s is None else s: w for s, w in weights.items()} if weights else {s: n**TEMPERATURE for s, n in sizes.items()}
-    quota = quotas(whole, share)
+    if weights and target is None:
+        quota = {s: n * block for s, n in quotas({s: n // block for s, n in sizes.items()}, share).items()}
+    else:
+        if target is None:
+            each = sum(sizes.values()) / (sum(share.values()) or 1)
+            target = round(sum(min(n, each * share[s]) for s, n in sizes.items()))
+        quota = fill(sizes, share, target)
     names = sorted(quota)
     named = lambda df: df.select(*out_columns, "mix_shard", "mix_position").toDF(*names_out, "mix_shard", "mix_position")
     total = sum(quota.values())
     if not total:
         return named(docs.select(*out_columns, F.lit(0).cast("int").alias("mix_shard"), F.lit(0).cast("bigint").alias("mix_position")).where("false"))
-    shards = max(1, round(total * block / shard))
-    parts = split(np.array([quota[s] for s in names]), shards, seed)
-    starts = np.vstack([np.zeros((1, len(names)), np.int64), np.cumsum(parts, axis=0)]) * block
-    wanted = spark.createDataFrame(pa.table({"src": np.repeat(names, shards + 1), "rank": starts.T.ravel(), "shard": np.tile(np.arange(shards + 1, dtype=np.int32), len(names))}))
+    shards = max(1, round(total / shard))
+    keys_of = np.array([quota[s] for s in names])
+    parts = split(-(-keys_of // block), shards, seed)
+    # the last block of a source ends with its quota
+    starts = np.minimum(np.vstack([np.zeros((1, len(names)), np.int64), np.cumsum(parts, axis=0)]) * block, keys_of)
+    # names as a list: Arrow ends NumPy's strings at the zero character of _NULL
+    wanted = spark.createDataFrame(pa.table({"src": [s for s in names for _ in range(shards + 1)], "rank": starts.T.ravel(), "shard": np.tile(np.arange(shards + 1, dtype=np.int32), len(names))}))
     rank = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", "id")) - 1 + F.col("before")
     # the same partitioning by (src, bucket) serves the counts and the ranks
     ranked = keys.join(before.select("src", "bucket", "before"), ["src", "bucket"]).withColumn("rank", rank)

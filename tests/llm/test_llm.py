@@ -300,6 +300,34 @@ def test_mixing_brute_force(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(table.repartition(7), weights, block=5, shard=100).collect()))
 
 
+def test_mixing_scarce_sources_bound_nothing(spark):
+    small = {"one": 1, "three": 3, "four": 4, None: 40}
+    names = ["hot"] * 2000 + ["warm"] * 500 + [s for s, n in small.items() for _ in range(n)]
+    table = docs(spark, [(i, f"t{i}", "en", s) for i, s in enumerate(names)])
+    have = Counter(names)
+    got = mixing.mix(table, shard=100).collect()
+    drawn = Counter(r.source for r in got)
+    assert len({r.doc_id for r in got}) == len(got)
+    assert {s: drawn[s] for s in [*small, "warm"]} == small | {"warm": 500}
+    asked = len(names) * 2000**mixing.TEMPERATURE / sum(n**mixing.TEMPERATURE for n in have.values())
+    assert abs(drawn["hot"] - asked) <= 1
+    sizes = Counter(r.mix_shard for r in got)
+    assert sorted((r.mix_shard, r.mix_position) for r in got) == sorted((s, p) for s, n in sizes.items() for p in range(n))
+    # a target is met exactly by given weights, though a source has less than asked for
+    weights = {"hot": 0.5, "warm": 0.2, "one": 0.1, "three": 0.1, None: 0.1}
+    drawn = Counter(r.source for r in mixing.mix(table, weights, target=745).collect())
+    assert drawn == {"one": 1, "three": 3, None: 40, "hot": 501, "warm": 200}
+    assert mixing.mix(table, weights, target=10**6).count() == 2544 and mixing.mix(table, target=2548).count() == 2548
+
+
+@pytest.mark.parametrize("few", [1, 3, 4, 5])
+def test_mixing_fills_exactly(few):
+    sizes = {"hot": 10**6, "few": few}
+    assert mixing.fill(sizes, {"hot": 1.0, "few": 1.0}, 1000) == {"hot": 1000 - few, "few": few}
+    assert mixing.fill(sizes, {"hot": 1.0, "few": 1.0}, 10**9) == sizes
+    assert mixing.fill({"a": 500, "b": 500, "c": 500}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, 1000) == {"a": 334, "b": 333, "c": 333}
+
+
 # --- odd inputs
 
 
