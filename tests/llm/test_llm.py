@@ -132,6 +132,17 @@ def test_license_templates(spark):
     assert got == [(1, "MIT-notice", 1, 9), (3, "SPDX-tag", 0, 4), (4, "MIT-notice", 0, 5), (4, "MIT-notice", 5, 10)]
 
 
+def test_license_lines_of_the_documents_and_headers(spark):
+    under = "under the terms of the GNU %sGeneral Public License as published by the Free Software Foundation, either version %s of the License, or (at your option) any later version."
+    lines = {"All rights reserved.": "All-rights-reserved", "Released under the MIT License.": "MIT-notice", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-notice", "Licensed under the Apache License, Version 2.0": "Apache-2.0-notice", "This work is licensed under the GNU General Public License, version 3": "GPL-3.0-notice"}
+    lines |= {under % ("", "3"): "GPL-3.0-header", under % ("", "2"): "GPL-2.0-header", under % ("Lesser ", "2.1"): "LGPL-2.1-header", under % ("Affero ", "3"): "AGPL-3.0-header", "CC0 1.0 Universal": "CC0-1.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "This is free and unencumbered software released into the public domain.": "Unlicense"}
+    rows = [(i, f"Some text.\n{x}\nMore", "en", "a") for i, x in enumerate(lines)]
+    assert [(r.doc_id, r.license_id) for r in licenses.scan(docs(spark, rows)).orderBy("doc_id").collect()] == list(enumerate(lines.values()))
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id for r in table.where("text like '%All rights reserved.%'").collect()}
+    assert want and want <= {r.doc_id for r in licenses.scan(table).where("license_id = 'All-rights-reserved'").collect()}
+
+
 def test_license_optional_and_replaceable_regions():
     a = licenses.Automaton('one <<beginOptional>>maybe <<endOptional>>two <<var;name="x";original="y";match=".{1,2}">> end')
     ends = {text: a.longest(text.split(), 0) for text in ("one two q end", "one maybe two q r end", "one two end", "one two q r s end", "one other two q end")}
