@@ -149,6 +149,29 @@ def test_license_optional_and_replaceable_regions():
     assert list(ends.values()) == [4, 6, -1, -1, -1]
 
 
+def test_license_regions_keep_their_own_bounds():
+    def end(match, text):
+        return licenses.Automaton(f'one <<var;name="x";original="y";match="{match}">> end').longest(text.split(), 0)
+
+    for n in (0, 1, 59, 61, 300):
+        text = "one " + "q " * n + "end"
+        assert end(".*", text) == n + 2
+        assert end(".+", text) == (n + 2 if n else -1)
+        assert end(".{0,5000}", text) == n + 2
+        assert end(".{0,60}", text) == (n + 2 if n <= 60 else -1)
+        assert end(".{60,}", text) == (n + 2 if n >= 60 else -1)
+    assert [end("the holder|owner", f"one {x} end") for x in ("the holder", "owner", "the", "the owner")] == [4, 3, -1, -1]
+    with pytest.raises(ValueError):
+        end("(the holder)?", "one end")
+    tag = licenses.Automaton(licenses.EVERY["SPDX-tag"])
+    for name in ("MIT", "Apache-2.0", "GPL-3.0-or-later", "AGPL-3.0-only", "BSD-3-Clause", "CC-BY-SA-4.0", "CC-BY-NC-SA-4.0"):
+        found = licenses.tokens(f"SPDX-License-Identifier: {name}")
+        assert tag.longest([*found, "import", "os"], 0) == len(found)
+    holder = "Neither the name of " + "very " * 30 + "long holder nor the names"
+    text = licenses.tokens(licenses._MARK.sub(" ", licenses._BSD) + licenses._MARK.sub(" ", licenses.TEMPLATES["BSD-3-Clause"][len(licenses._BSD) :]).replace("Neither the name of   nor the names", holder))
+    assert "holder" in text and licenses.Automaton(licenses.EVERY["BSD-3-Clause"]).search(text)
+
+
 # --- 4
 
 
