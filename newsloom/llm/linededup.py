@@ -14,7 +14,9 @@ Suffixes that share a rank after the round to depth h are one interval of
 longest common prefix >= h.  All but the first of an interval, in the order of
 (doc_id, line), are later copies of a run of h lines.  Deleted are the lines of
 every maximal run that has an earlier copy and that has at least RUN lines, or
-is one line of at least LONG characters.  The first copy always stays.
+is one line of at least `least` characters: LONG in `dedup_lines`, as in its SQL,
+and SHORT in `deduplicate`, which has no SQL and also takes boilerplate of a few
+words.  The first copy always stays.
 
 Plan.  Texts are exploded to line hashes, which are the only thing the rounds
 shuffle.  Each round writes its table to the shared folder.  A group is sorted
@@ -39,28 +41,29 @@ from newsloom.llm.common import Tables, documents, plain
 
 #: A repeated run is deleted from this many lines on; RUN is fixed by the depth of the first round.
 RUN = 2
-#: A single repeated line is deleted from this many characters on.
-LONG = 40
+#: A single repeated line is deleted from this many characters on, in dedup_lines (and its SQL) and in deduplicate.
+#: Below SHORT, about three words, clean documents share lines by chance ("Yes.", "Chapter 1", "}").
+LONG, SHORT = 40, 15
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> tuple:
     return F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))), F.xxhash64(F.col(text_col))
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG) -> DataFrame:
     """d, t (document key), p (line, from 0), h, g (line ID), nh, ng (ID of the next line, null at the end), long."""
     d, t = _key(docs, id_col, text_col)
     split = docs.where(F.col(text_col).isNotNull()).select(d.alias("d"), t.alias("t"), F.split(F.col(text_col), "\n", -1).alias("x"))
-    ids = split.select("d", "t", F.transform("x", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), (F.length(x) >= LONG).alias("long"))).alias("x"))
+    ids = split.select("d", "t", F.transform("x", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), (F.length(x) >= least).alias("long"))).alias("x"))
     following = F.concat(F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0))), F.array(F.lit(None).cast("struct<h:bigint,g:bigint,long:boolean>")))
     rows = ids.select("d", "t", F.posexplode(F.arrays_zip(F.col("x").alias("a"), following.alias("b"))).alias("p", "x"))
     return rows.select("d", "t", "p", F.col("x.a.h").alias("h"), F.col("x.a.g").alias("g"), F.col("x.b.h").alias("nh"), F.col("x.b.g").alias("ng"), F.col("x.a.long").alias("long"))
 
 
-def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Tables, DataFrame]:
+def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG) -> tuple[Tables, DataFrame]:
     """The suffixes that start with repeated lines: d, t, p, h, g, o (offset within the suffixes of the first line), long, depth (the largest power of two of lines that have an earlier copy; 0 if none)."""
     tables = Tables(docs.sparkSession, "lines")
-    every = lines(docs, id_col, text_col)
+    every = lines(docs, id_col, text_col, least)
     first = F.min(F.struct("d", "t", "p")).alias("first")
     repeated = every.groupBy("h", "g").agg(first, F.max(F.struct("d", "t", "p")).alias("last")).where("first <> last").drop("last")
     here = F.struct("d", "t", "p")
@@ -86,9 +89,9 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             return tables, table.where("long is not null")
 
 
-def deleted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deleted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG) -> DataFrame:
     """d, t and the sorted array of lines to delete."""
-    _, order = suffixes(docs, id_col, text_col)
+    _, order = suffixes(docs, id_col, text_col, least)
     gone = order.where("depth >= 2 or depth = 1 and long").select("d", "t", F.explode(F.when(F.col("depth") >= RUN, F.array("p", F.col("p") + 1)).otherwise(F.array("p"))).alias("p"))
     return gone.groupBy("d", "t").agg(F.array_sort(F.collect_set("p")).alias("gone"))
 
@@ -100,16 +103,16 @@ def _without(text: str, gone: list[int]) -> tuple[str | None, int]:
     return ("\n".join(kept) if kept else None), len(parts)
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     d, t = _key(docs, id_col, text_col)
-    gone = deleted(docs, id_col, text_col).select(F.col("d").alias("_line_d"), F.col("t").alias("_line_t"), F.col("gone").alias("_line_gone"))
+    gone = deleted(docs, id_col, text_col, least).select(F.col("d").alias("_line_d"), F.col("t").alias("_line_t"), F.col("gone").alias("_line_gone"))
     return docs.join(gone, (d == F.col("_line_d")) & (t == F.col("_line_t")), "left")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG) -> DataFrame:
     """doc_id, n_lines, n_removed, text (null if nothing is left) of the rows with a text."""
     docs, (id_col, text_col) = plain(docs, id_col, text_col)
-    joined = _joined(docs, id_col, text_col).where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col("_line_gone").alias("gone"))
+    joined = _joined(docs, id_col, text_col, least).where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col("_line_gone").alias("gone"))
 
     def stage(batches):
         for batch in batches:
@@ -123,7 +126,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.mapInArrow(stage, "doc_id bigint, n_lines bigint, n_removed bigint, text string")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SHORT) -> DataFrame:
     """The rows of docs with the text that is left; rows of which nothing is left go."""
     at = docs.columns.index(text_col)
     names = docs.columns
@@ -151,7 +154,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     docs, (id_col, text_col) = plain(docs, id_col, text_col)
-    return _joined(docs, id_col, text_col).select(*docs.columns, "_line_gone").mapInArrow(stage, docs.schema).toDF(*names)
+    return _joined(docs, id_col, text_col, least).select(*docs.columns, "_line_gone").mapInArrow(stage, docs.schema).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

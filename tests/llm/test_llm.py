@@ -231,6 +231,13 @@ def test_line_dedup_brute_force(spark, seed):
     assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {i: (t, len(t)) for i, t in want.items() if t is not None}
 
 
+def test_line_dedup_deletes_single_short_lines(spark):
+    notice, edge, under = "Released under the MIT License.", "e" * linededup.SHORT, "u" * (linededup.SHORT - 1)
+    rows = [(i, "\n".join([f"first of {i} alone", x, f"last of {i} alone"]), "en", "a") for i, x in enumerate([notice, edge, under] * 3)]
+    got = {r.doc_id: r.text.split("\n")[1:-1] for r in linededup.deduplicate(docs(spark, rows)).collect()}
+    assert got == {i: [x] if i < 3 or x == under else [] for i, x in enumerate([notice, edge, under] * 3)}
+
+
 # --- 6
 
 
