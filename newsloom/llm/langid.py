@@ -11,7 +11,8 @@ reaches MIN_SHARE and leads by MIN_LEAD; otherwise the document is rejected.
 
 Fitting uses a bounded sample of labelled rows, about FIT_ROWS documents of
 each language chosen by a hash of the id; an n-gram belongs to a language if at
-least MIN_DOCS of the sample's documents have it.  N-grams are of the
+least MIN_DOCS of the language's sampled documents have it, fewer (down to one)
+if there are less than MIN_DOCS * SOME of them.  N-grams are of the
 lower-cased text in which every byte that isn't a letter is a space.
 
 Identification is one narrow pass; the filter has a fixed size.
@@ -37,6 +38,8 @@ GRAM, SLOTS, HASHES = 5, 1 << 20, 2
 #: Bound on the labelled rows that are fitted on, by language (in expectation).
 FIT_ROWS = 500
 MIN_DOCS = 3
+#: Sampled documents of a language for each document that must have an n-gram, up to MIN_DOCS.
+SOME = 50
 MIN_SHARE, MIN_LEAD = 0.5, 0.05
 SLICE = 1 << 20
 _CLEAN = np.full(256, 32, np.uint8)
@@ -108,6 +111,11 @@ class Filter:
         return [self.languages[b] if s else None for b, s in zip(share.argmax(1), sure, strict=True)], best
 
 
+def least_docs(n: int) -> int:
+    """Of n sampled documents of a language, how many must have an n-gram that is to count."""
+    return min(MIN_DOCS, max(1, n // SOME))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Filter:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("doc_id is not null and lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in docs.select(F.col(lang_col).cast("string").alias("lang")).where("lang is not null").groupBy("lang").count().collect()}
@@ -126,7 +134,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 found, count = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(count.astype(np.int64))], ["lang", "gram", "n"])
 
-    kept = sample.select("text", "lang").mapInArrow(stage, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
+    sampled = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    few = F.coalesce(*[F.when(F.col("lang") == name, F.lit(least_docs(n))) for name, n in sampled.items() if n < MIN_DOCS * SOME], F.lit(MIN_DOCS))
+    kept = sample.select("text", "lang").mapInArrow(stage, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= few)
     table = kept.select("lang", "gram").toArrow()
     found = {name: table.filter(pc.equal(table["lang"], name))["gram"].to_numpy() for name in languages}
     return Filter(languages, [found[name] for name in languages])

@@ -259,6 +259,18 @@ def test_language_filter_returns_all_languages_of_a_gram():
     assert list(model.masks(np.array([1, 3, 4], np.uint64)) & np.uint64(3)) == [1, 3, 2]
 
 
+@pytest.mark.parametrize("k", [1, 3, 5, 10, 20, 60])
+def test_language_with_few_labelled_rows_stays(spark, k):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    # documents of one kind: long enough to tell, no junk, no copies
+    rare = sorted({r.text: r.doc_id for r in table.where("lang = 'es' and n_chars > 300").collect()}.values())[:k]
+    few = table.where((table.lang != "es") | table.doc_id.isin(rare))
+    told = {r.doc_id: r.language for r in langid.identify(few).collect()}
+    assert [told[i] for i in rare] == ["es"] * k
+    others = few.where("lang <> 'es'").select("doc_id", "lang").collect()
+    assert np.mean([told[r.doc_id] == r.lang for r in others]) >= 0.95
+
+
 # --- 8
 
 
