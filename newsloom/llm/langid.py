@@ -1,7 +1,8 @@
 """Language identification with language-bitmask n-gram filters (operator 6).
 
 One bit-sliced Bloom filter holds the byte n-grams of all languages: slot i is
-a word whose bit l says that some n-gram of language l hashes there.  The AND
+a row of words, one for every 64 languages, whose bit l says that some n-gram of
+language l hashes there.  The AND
 of an n-gram's slots gives, in one look-up, all languages that contain it.  A
 document's n-grams are looked up, the bits are counted by language, and each
 count is corrected for the filter's false positives: with N n-grams and a
@@ -20,7 +21,7 @@ Identification is one narrow pass; the filter has a fixed size.
 Cases.  A null, empty or letterless text is rejected: null language, share 0.
 Ties between languages are rejected (no lead).  Rows with null labels or ids
 aren't fitted on, but are identified.  Repeated rows are identified each.
-Without any labelled row everything is rejected.  At most 64 languages.
+Without any labelled row everything is rejected.
 """
 
 from __future__ import annotations
@@ -71,20 +72,19 @@ def slots(code: np.ndarray) -> list[np.ndarray]:
 
 class Filter:
     def __init__(self, languages: list[str], sets: list[np.ndarray]):
-        if len(languages) > 64:
-            raise ValueError("more than 64 languages")
         self.languages = languages
-        self.table = np.zeros(SLOTS, np.uint64)
-        for bit, found in enumerate(sets):
+        self.table = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), np.uint64)
+        for k, found in enumerate(sets):
             for s in slots(found.astype(np.uint64)):
-                self.table[s] |= np.uint64(1) << np.uint64(bit)
-        fill = [np.count_nonzero(self.table >> np.uint64(b) & np.uint64(1)) / SLOTS for b in range(len(languages))]
+                self.table[k // 64][s] |= np.uint64(1) << np.uint64(k % 64)
+        fill = [np.count_nonzero(self.table[k // 64] >> np.uint64(k % 64) & np.uint64(1)) / SLOTS for k in range(len(languages))]
         self.false = np.array(fill) ** HASHES
 
-    def masks(self, code: np.ndarray) -> np.ndarray:
+    def masks(self, code: np.ndarray, word: int = 0) -> np.ndarray:
+        """Of each n-gram, the languages from 64 * word on that have it."""
         out = None
         for s in slots(code):
-            out = self.table[s] if out is None else out & self.table[s]
+            out = self.table[word][s] if out is None else out & self.table[word][s]
         return out
 
     def shares(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +92,12 @@ class Filter:
         n = len(column)
         counts, total = np.zeros((n, len(self.languages))), np.zeros(n, np.int64)
         for first, code, row in grams(column):
-            mask = self.masks(code)
             size = int(row.max()) + 1 if len(row) else 0
             total[first : first + size] += np.bincount(row, minlength=size)
-            for b in range(len(self.languages)):
-                counts[first : first + size, b] += np.bincount(row, weights=(mask >> np.uint64(b) & np.uint64(1)).astype(np.float64), minlength=size)
+            for k in range(len(self.languages)):
+                if k % 64 == 0:
+                    mask = self.masks(code, k // 64)
+                counts[first : first + size, k] += np.bincount(row, weights=(mask >> np.uint64(k % 64) & np.uint64(1)).astype(np.float64), minlength=size)
         share = (counts / np.maximum(total, 1)[:, None] - self.false) / (1 - self.false)
         return np.where(total[:, None] > 0, np.maximum(share, 0), 0), total
 

@@ -271,6 +271,17 @@ def test_language_with_few_labelled_rows_stays(spark, k):
     assert np.mean([told[r.doc_id] == r.lang for r in others]) >= 0.95
 
 
+def test_more_than_64_languages(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(70):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)]
+        rows += [(10 * k + i, " ".join(rng.choice(own) for _ in range(60)), f"l{k:02}", "a") for i in range(4)]
+    told = {r.doc_id: r.language for r in langid.identify(docs(spark, rows)).collect()}
+    assert told == {r[0]: r[2] for r in rows}
+    assert langid.keep_identified(docs(spark, rows)).count() == len(rows)
+
+
 # --- 8
 
 
