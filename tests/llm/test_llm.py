@@ -62,6 +62,22 @@ def test_simhash_recall_and_groups(spark):
     assert all(len(x) == 1 for x in true.values())
 
 
+@pytest.mark.parametrize("n", [10**3, 10**5, 10**7])
+def test_simhash_recall_by_distance(n):
+    # random pairs that differ in exactly so many bits, under the grids of a table of n fingerprints
+    rng = np.random.default_rng(n)
+    grids = [(k[0] % 2**64, k[1] % 2**64) for k in simhash.grid_masks(n)]
+    for away in (17, 20, simhash.MOST_BITS):
+        a = rng.integers(0, 2, (2000, 128), np.uint8)
+        flips = np.zeros_like(a)
+        np.put_along_axis(flips, rng.random(a.shape).argsort(1)[:, :away], 1, 1)
+        b = a ^ flips
+        differs = a.reshape(-1, 64, 2).sum(2) != b.reshape(-1, 64, 2).sum(2)
+        used = np.array([[m[s // 32] >> 2 * (s % 32) & 1 for s in range(64)] for m in grids], bool)
+        met = (differs.astype(np.float32) @ used.T.astype(np.float32) == 0).any(1)
+        assert met.mean() >= 0.93, (away, met.mean())
+
+
 def test_simhash_manhattan_is_a_lower_bound():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 4, (2, 500, 64))
