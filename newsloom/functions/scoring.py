@@ -6,36 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-
-_USED = "struct<g:array<int>,p:array<int>>"
-
-
-def greedy(candidates: Column) -> Column:
-    """struct(g, p): indices taken one-to-one, best first.  A candidate's last two fields are g and p; the fields before them rank it."""
-
-    def step(state: Column, c: Column) -> Column:
-        taken = F.array_contains(state["g"], c["g"]) | F.array_contains(state["p"], c["p"])
-        return F.when(taken, state).otherwise(F.struct(F.array_append(state["g"], c["g"]).alias("g"), F.array_append(state["p"], c["p"]).alias("p")))
-
-    start = F.struct(F.array().cast("array<int>").alias("g"), F.array().cast("array<int>").alias("p"))
-    return F.aggregate(F.array_sort(candidates), start, step)
-
+from newsloom.functions.arrays import match_nearest
 
 def match(gold: Column, pred: Column, tolerance: Column | int = 25) -> Column:
     """struct(pairs, n_missed, n_spurious): nearest pairs first, each boundary in one pair at most; pairs as consumed."""
     tolerance = F.lit(tolerance) if isinstance(tolerance, int) else tolerance
-    near = F.flatten(
-        F.transform(
-            gold,
-            lambda g, gi: F.filter(F.transform(pred, lambda p, pi: F.struct(F.abs(g - p).alias("d"), gi.alias("g"), pi.alias("p"))), lambda c: c["d"] <= tolerance),
-        )
-    )
 
     def answer(used: Column) -> Column:
-        pairs = F.transform(F.arrays_zip(used["g"].alias("g"), used["p"].alias("p")), lambda x: F.struct(F.get(gold, x["g"]).alias("gold"), F.get(pred, x["p"]).alias("pred")))
-        return F.struct(pairs.alias("pairs"), (F.size(gold) - F.size(used["g"])).alias("n_missed"), (F.size(pred) - F.size(used["p"])).alias("n_spurious"))
+        pairs = F.transform(used, lambda x: F.struct(F.get(gold, x["g"]).alias("gold"), F.get(pred, x["p"]).alias("pred")))
+        return F.struct(pairs.alias("pairs"), (F.size(gold) - F.size(used)).alias("n_missed"), (F.size(pred) - F.size(used)).alias("n_spurious"))
 
-    return T.let(greedy(near), answer)
+    return T.let(match_nearest(gold, pred, tolerance), answer)
 
 
 def mean_offset(pairs: Column) -> Column:

@@ -35,9 +35,10 @@ def word_count(body: Column) -> Column:
 
 def word_char_starts(body: Column) -> Column:
     """The character offset of each word, and the body's length at the end."""
-    sizes = F.transform(pieces(body), F.length)
-    ends = F.aggregate(sizes, F.array(F.length(lead(body))), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return F.when(F.size(sizes) > 0, ends).otherwise(F.array(F.length(body)))
+    from newsloom.functions.arrays import running_sum
+
+    # a body without words is all lead
+    return running_sum(F.concat(F.array(F.length(lead(body))), F.transform(pieces(body), F.length)))
 
 
 def strip(text: Column) -> Column:

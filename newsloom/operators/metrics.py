@@ -15,11 +15,13 @@ def align(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """gold (record_id, breaks, ...) with pred_breaks; a record without a prediction predicts nothing.
 
     Gold defines the denominator: every gold row is scored, repeated ones twice.
-    Of repeated predictions the last (by column ordinal, if there is one) counts.
+    Of repeated predictions the last (by column ordinal, if there is one) counts;
+    its word_count, if there is one, comes along as pred_words.
     """
+    words = [F.col("word_count").alias("pred_words")] if "word_count" in pred.columns else []
     if "ordinal" in pred.columns:
-        pred = pred.groupBy("record_id").agg(F.max_by("pred_breaks", "ordinal").alias("pred_breaks"))
-    pred = pred.select("record_id", "pred_breaks", F.lit(True).alias("present"))
+        pred = pred.groupBy("record_id").agg(F.max_by(F.struct("pred_breaks", *[c for c in ("word_count",) if words]), "ordinal").alias("_p")).select("record_id", "_p.*")
+    pred = pred.select("record_id", "pred_breaks", *words, F.lit(True).alias("present"))
     joined = gold.join(pred, "record_id", "left")
     return joined.withColumn("pred_breaks", F.coalesce("pred_breaks", F.array().cast("array<bigint>"))).withColumn("present", F.coalesce("present", F.lit(False)))
 
@@ -44,9 +46,9 @@ def match_documents(aligned: DataFrame, tolerance: Column | int = 25, gold: str
     return out.withColumns({"tp": F.size("match.pairs").cast("bigint"), "fn": F.col("match.n_missed").cast("bigint"), "fp": F.col("match.n_spurious").cast("bigint")})
 
 
-def pool(matched: DataFrame, *by: str) -> DataFrame:
-    """Counts pooled over documents, and the rates."""
-    total = matched.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fn", "fp")])
+def pool(matched: DataFrame, *by: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Counts pooled over documents, and the rates; other counts may be summed too."""
+    total = matched.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fn", "fp", *also)])
     return total.withColumns(S.prf(F.col("tp"), F.col("fn"), F.col("fp")))
 
 
@@ -60,8 +62,7 @@ def score_tolerances(aligned: DataFrame, tolerances: tuple[int, ...] = TOLERANCE
 
 def score_by(aligned: DataFrame, column: str, tolerance: int = 25) -> DataFrame:
     """Rates by outlet or the like, with the number of documents."""
-    counted = aligned.groupBy(column).agg(F.count(F.lit(1)).alias("n_docs"))
-    return pool(match_documents(aligned, tolerance), column).join(counted, column)
+    return pool(match_documents(aligned, tolerance).withColumn("n_docs", F.lit(1)), column, also=("n_docs",))
 
 
 def pk_window(gold: Column, n: Column) -> Column:

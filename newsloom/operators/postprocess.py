@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import scoring as S
 
 TAU, RADIUS = 0.01, 25
-THRESHOLDS = (0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.001, 0.0)
+THRESHOLDS = (0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02, 0.01, 0.005, 0.0)
 
 
 def guard(hits: DataFrame, fraction: float = 0.10) -> DataFrame:
@@ -52,10 +52,11 @@ def sweep(windows: DataFrame, gold: DataFrame, thresholds: tuple[float, ...] = T
     fired = windows.withColumn("_t", F.explode(taus)).select("*", "_t.*").where("p_break > tau")
     docs = scored.withColumn("_t", F.explode(taus)).select("*", "_t.*").drop("_t")
     found = _collect(fired, docs, ("record_id", "tau"), radius)
-    totals = metrics.pool(metrics.match_documents(found, tolerance), "tau", "rank")
-    preds = found.groupBy("tau").agg(F.sum(F.size("pred_breaks")).alias("n_pred"))
-    firing = fired.groupBy("tau").agg(F.count(F.lit(1)).alias("n_firing"))
-    return totals.join(preds, "tau").join(firing, "tau", "left").withColumn("n_firing", F.coalesce("n_firing", F.lit(0)))
+    # counts and predictions in one aggregation; the firing windows in one that reads nothing but p_break
+    totals = metrics.pool(metrics.match_documents(found, tolerance).withColumn("n_pred", F.size("pred_breaks")), "tau", "rank", also=("n_pred",))
+    counts = windows.select("p_break").agg(*[F.count_if(F.col("p_break") > t).alias(f"_{i}") for i, t in enumerate(thresholds)])
+    firing = counts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.col(f"_{i}").alias("n_firing")) for i in range(len(thresholds))])).alias("x")).select("x.*")
+    return totals.join(F.broadcast(firing), "rank")
 
 
 def best(swept: DataFrame) -> DataFrame:

@@ -2,23 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions import scoring as S
-from newsloom.functions.text import pin
+from newsloom.functions.arrays import best_first, keyed, offsets_of, spread
 from newsloom.operators.segments import group_by_record, require_full
+from newsloom.session import ship
 
 STABLE = ("same", "moved")
 _FIELDS = ("index", "segment_id", "word_start", "word_end", "n_words")
-
-
-def _pair(o: Column, n: Column) -> tuple[Column, Column]:
-    return S.overlap(o["word_start"], o["word_end"], n["word_start"], n["word_end"])
-
-
-def _row(status: Column, old: Column, new: Column, overlap: Column, shift: Column) -> Column:
-    return F.struct(status.alias("status"), old.alias("old_id"), new.alias("new_id"), overlap.cast("double").alias("overlap"), shift.cast("bigint").alias("start_shift"))
+_SIDE = "array<struct<index:bigint,segment_id:string,word_start:bigint,word_end:bigint,n_words:bigint>>"
+_OUT = "record_id string, ordinal int, status string, old_id string, new_id string, overlap double, start_shift bigint"
+
+
+class _Side:
+    """The segments of all records of a batch, in one row of arrays."""
+
+    def __init__(self, lists: pa.Array):
+        parts = lists.flatten()
+        self.id = parts.field("segment_id")
+        self.start, self.end, self.words = (parts.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("word_start", "word_end", "n_words"))
+        self.at = offsets_of(lists)
+        self.row = np.repeat(np.arange(len(lists)), np.diff(self.at))
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    def ascending(self) -> bool:
+        inside = self.row[1:] == self.row[:-1]
+        return not (inside & ((self.start[1:] < self.start[:-1]) | (self.end[1:] < self.end[:-1]))).any()
+
+
+def _met(o: _Side, n: _Side, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one record whose ranges overlap or touch; all pairs if wanted, or if segments aren't in the order of their words."""
+    if every or not (o.ascending() and n.ascending()):
+        first, count = n.at[o.row], np.diff(n.at)[o.row]
+    else:
+        low = int(min(n.start.min(initial=0), n.end.min(initial=0))) - 1
+        width = int(max(n.start.max(initial=0), n.end.max(initial=0))) - low + 2
+        first = np.searchsorted(keyed(n.row, n.end, low, width), keyed(o.row, o.start, low, width))
+        count = np.maximum(np.searchsorted(keyed(n.row, n.start, low, width), keyed(o.row, o.end, low, width), "right") - first, 0)
+    return spread(first, count)
+
+
+def _hosts(part: np.ndarray, other: np.ndarray, inter: np.ndarray, size: int) -> np.ndarray:
+    """For each part the place of the first pair of those that share most with it, -1 if there is none."""
+    out = np.full(size, -1)
+    order = np.lexsort((other, -inter, part))
+    first = order[np.append(True, part[order][1:] != part[order][:-1])] if len(order) else order
+    out[part[first]] = first
+    return out
+
+
+def _relate(batch: pa.RecordBatch, min_overlap: float, min_fragment: float) -> pa.RecordBatch:
+    o, n = _Side(batch.column(1)), _Side(batch.column(2))
+    x, y = _met(o, n, min_overlap <= 0 or min_fragment <= 0)
+    inter = np.maximum(np.minimum(o.end[x], n.end[y]) - np.maximum(o.start[x], n.start[y]), 0)
+    union = (o.end - o.start)[x] + (n.end - n.start)[y] - inter
+    same = (o.start[x] == n.start[y]) & (o.end[x] == n.end[y])
+    jaccard = np.where(union != 0, inter / np.where(union != 0, union, 1), same.astype(float))
+    inter = np.where(union != 0, inter, 0)
+    # how much of one lies in the other is measured against its own words
+    in_new = (o.words[x] != 0) & (inter >= min_fragment * o.words[x])
+    in_old = (n.words[y] != 0) & (inter >= min_fragment * n.words[y])
+    near = np.flatnonzero(jaccard >= min_overlap)
+    order = near[np.lexsort((y[near], x[near], -jaccard[near], o.row[x[near]]))]
+    pairs = np.sort(order[best_first(np.arange(len(order)), x[order], y[order])])
+    pairs = pairs[np.lexsort((y[pairs], x[pairs]))]
+    parts = np.bincount(x[in_old], minlength=len(o))[x[pairs]] - in_old[pairs]
+    joined = np.bincount(y[in_new], minlength=len(n))[y[pairs]] - in_new[pairs]
+    status = np.select([parts > 0, joined > 0, same[pairs]], ["split", "merged", "same"], "moved").astype(object)
+    lone_o = np.setdiff1d(np.arange(len(o)), x[pairs])
+    lone_n = np.setdiff1d(np.arange(len(n)), y[pairs])
+    held, holds = np.flatnonzero(in_new), np.flatnonzero(in_old)
+    to = _hosts(x[held], y[held], inter[held], len(o))[lone_o]
+    of = _hosts(y[holds], x[holds], inter[holds], len(n))[lone_n]
+    # pairs, then old segments alone, then new ones; a host that isn't there is null
+    at_o, at_n = held[to] if len(held) else to * 0, holds[of] if len(holds) else of * 0
+    pick = lambda values, at, has: np.where(has, values[at] if len(values) else 0, -1)
+    old = np.concatenate([x[pairs], lone_o, pick(x, at_n, of >= 0)])
+    new = np.concatenate([y[pairs], pick(y, at_o, to >= 0), lone_n])
+    status = np.concatenate([status, np.where(to >= 0, "merged", "removed").astype(object), np.where(of >= 0, "split", "added").astype(object)])
+    overlap = np.concatenate([jaccard[pairs], np.where(to >= 0, jaccard[at_o] if len(jaccard) else 0, 0.0), np.where(of >= 0, jaccard[at_n] if len(jaccard) else 0, 0.0)])
+    kind = np.repeat([0, 1, 2], [len(pairs), len(lone_o), len(lone_n)])
+    row = np.concatenate([o.row[x[pairs]], o.row[lone_o], n.row[lone_n]]).astype(np.int64)
+    out = np.lexsort((np.arange(len(row)), kind, row))
+    row, old, new, status, overlap = row[out], old[out].astype(np.int64), new[out].astype(np.int64), status[out], overlap[out]
+    both = (old >= 0) & (new >= 0)
+    shift = np.where(both, (n.start[new] if len(n) else 0) - (o.start[old] if len(o) else 0), 0)
+    ids = lambda side, at: side.id.take(pa.array(np.maximum(at, 0), mask=at < 0)) if len(side) else pa.nulls(len(at), pa.string())
+    ordinal = np.arange(len(row)) - np.searchsorted(row, row)
+    columns = [batch.column(0).take(pa.array(row)), pa.array(ordinal.astype(np.int32)), pa.array(status, pa.string()), ids(o, old), ids(n, new), pa.array(overlap), pa.array(shift, pa.int64(), mask=~both)]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _OUT.split(", ")])
 
 
 def reconcile(old: DataFrame, new: DataFrame, min_overlap: float = 0.5, min_fragment: float = 0.5) -> DataFrame:
@@ -27,42 +104,26 @@ def reconcile(old: DataFrame, new: DataFrame, min_overlap: float = 0.5, min_frag
     Segments are paired one-to-one, highest Jaccard overlap first, then by
     position.  Pairs come first, then unpaired old segments (merged into the new
     one that holds most of them, or removed), then unpaired new ones (split off,
-    or added); nothing is dropped.  One shuffle by record on each side.
+    or added); nothing is dropped.  One shuffle by record on each side; then only
+    segments whose ranges meet are looked at, found by bisection, for all records of
+    a batch at once.  With a min_overlap or min_fragment of 0 every pair of a record counts.
     """
-    side = lambda df, name: group_by_record(require_full(df), _FIELDS).withColumnRenamed("segments", name)
-    none = F.array().cast("array<struct<index:bigint,segment_id:string,word_start:bigint,word_end:bigint,n_words:bigint>>")
-    cast = lambda c: F.coalesce(F.transform(c, lambda s: F.struct(s["index"].cast("bigint").alias("index"), s["segment_id"].alias("segment_id"), s["word_start"].cast("bigint").alias("word_start"), s["word_end"].cast("bigint").alias("word_end"), s["n_words"].cast("bigint").alias("n_words"))), none)
-    both = side(old, "o").join(side(new, "n"), "record_id", "full")
-    both = pin(both, o=cast("o"), n=cast("n"))
-    near = F.flatten(
-        F.transform("o", lambda o, oi: F.filter(F.transform("n", lambda n, ni: F.struct((-_pair(o, n)[1]).alias("j"), oi.alias("g"), ni.alias("p"))), lambda c: c["j"] <= -F.lit(float(min_overlap))))
-    )
-    both = pin(both, u=S.greedy(near))
-    held = lambda inter, part: (part["n_words"] != 0) & (inter >= F.lit(float(min_fragment)) * part["n_words"])
-
-    def pair(x: Column) -> Column:
-        o, n = F.get("o", x["g"]), F.get("n", x["p"])
-        split = F.exists(F.filter("n", lambda y, j: (j != x["p"]) & held(_pair(o, y)[0], y)), lambda y: F.lit(True))
-        merged = F.exists(F.filter("o", lambda y, j: (j != x["g"]) & held(_pair(y, n)[0], y)), lambda y: F.lit(True))
-        same = (o["word_start"] == n["word_start"]) & (o["word_end"] == n["word_end"])
-        status = F.when(split, "split").when(merged, "merged").when(same, "same").otherwise("moved")
-        return _row(status, o["segment_id"], n["segment_id"], _pair(o, n)[1], n["word_start"] - o["word_start"])
-
-    def lone(part: Column, others: str, found: str, lost: str, is_old: bool) -> Column:
-        # the first of those that share most with it
-        hosts = F.filter(F.transform(others, lambda y, j: F.struct((-_pair(part, y)[0]).alias("inter"), j.alias("j"))), lambda c: held(-c["inter"], part))
-        at = F.array_min(hosts)["j"]
-        host = F.get(others, at)
-        status = F.when(at.isNotNull(), found).otherwise(lost)
-        overlap = F.when(at.isNotNull(), _pair(part, host)[1]).otherwise(F.lit(0.0))
-        if is_old:
-            return _row(status, part["segment_id"], host["segment_id"], overlap, host["word_start"] - part["word_start"])
-        return _row(status, host["segment_id"], part["segment_id"], overlap, part["word_start"] - host["word_start"])
-
-    pairs = F.transform(F.array_sort(F.arrays_zip(F.col("u.g").alias("g"), F.col("u.p").alias("p"))), pair)
-    olds = F.transform(F.filter("o", lambda o, i: ~F.array_contains("u.g", i)), lambda o: lone(o, "n", "merged", "removed", True))
-    news = F.transform(F.filter("n", lambda n, i: ~F.array_contains("u.p", i)), lambda n: lone(n, "o", "split", "added", False))
-    return both.select("record_id", F.posexplode(F.concat(pairs, olds, news)).alias("ordinal", "c")).select("record_id", "ordinal", "c.*")
+    ship(old.sparkSession)
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        grouped = group_by_record(require_full(df), _FIELDS)
+        whole = F.transform("segments", lambda s: F.struct(*[s[c].cast("string" if c == "segment_id" else "bigint").alias(c) for c in _FIELDS]))
+        return grouped.select("record_id", whole.alias(name))
+
+    none = F.array().cast(_SIDE)
+    both = side(old, "o").join(side(new, "n"), "record_id", "full").select(F.col("record_id").cast("string").alias("record_id"), F.coalesce("o", none).alias("o"), F.coalesce("n", none).alias("n"))
+
+    def stage(batches):
+        for batch in batches:
+            if len(batch):
+                yield _relate(batch, float(min_overlap), float(min_fragment))
+
+    return both.mapInArrow(stage, _OUT)
 
 
 def id_map(correspondences: DataFrame) -> DataFrame:

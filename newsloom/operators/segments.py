@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
+from newsloom.functions.arrays import running_sum
 
 FLAGS = ("short", "empty")
 CARRIED = ("outlet", "show", "date")
@@ -19,57 +20,57 @@ def bad_breaks(breaks: Column, n: Column) -> Column:
     return F.when(breaks.isNull(), F.lit("no usable breaks")).when(F.size(outside) > 0, F.concat(F.lit("boundaries outside (0, "), n.cast("string"), F.lit("): "), F.to_json(outside)))
 
 
+def checked(docs: DataFrame) -> DataFrame:
+    """docs with _pieces (words with the white space after them), computed once, and error: null, or why the record can't be cut."""
+    # pinned: a count written into the lambda over breaks would be taken once for each break
+    cut = T.pin(docs, _pieces=T.pieces(F.col("body")))
+    cut = T.pin(cut, _n=F.size("_pieces").cast("bigint"))
+    why = F.when(F.col("body").isNull(), "transcript has no usable body").when(F.instr("record_id", "#") > 0, "record_id holds '#'").otherwise(bad_breaks(F.col("breaks"), F.col("_n")))
+    return cut.withColumn("error", why)
+
+
 def to_segments(docs: DataFrame, min_words: int | None = None, include_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each story of docs (record_id, body, breaks); narrow, no shuffle.
 
     Breaks are sorted and made distinct.  A record that can't be cut gives no
     row here; `segment_errors` names it.  Texts keep the white space after each
-    word, so a record's texts joined are its body.
+    word, so a record's texts joined are its body; offsets come from the sizes
+    of words, so that no text is made where none is asked for.
     """
-    good = with_errors(docs).where("error is null")
-    base = T.pin(good.select("record_id", *carry, "body", "breaks"), _lead=T.lead(F.col("body")), _pieces=T.pieces(F.col("body")), _cuts=F.array_sort(F.array_distinct("breaks")))
-    n = F.size("_pieces").cast("bigint")
+    good = checked(docs).where("error is null")
+    base = T.pin(good.select("record_id", *carry, "_n", "_pieces", "breaks", "body"), _lead=T.lead(F.col("body")), _sizes=F.transform("_pieces", F.length), _cuts=F.array_sort(F.array_distinct("breaks"))).drop("body")
     zero = F.array(F.lit(0).cast("bigint"))
-    cut = F.arrays_zip(F.concat(zero, F.col("_cuts")).alias("a"), F.concat(F.col("_cuts"), F.array(n)).alias("b"))
-    texts = F.transform(
-        cut,
-        lambda e, i: F.struct(
-            i.cast("bigint").alias("index"),
-            e["a"].alias("a"),
-            e["b"].alias("b"),
-            F.concat(F.when(i == 0, F.col("_lead")).otherwise(""), F.array_join(F.slice("_pieces", (e["a"] + 1).cast("int"), (e["b"] - e["a"]).cast("int")), "")).alias("text"),
-        ),
-    )
-    rows = T.pin(base, _texts=texts).select("record_id", *carry, F.size("_cuts").cast("bigint").alias("n_cuts"), "_texts")
-    # where each text ends, by a running sum within the row
-    ends = F.aggregate("_texts", F.array(F.lit(0).cast("bigint")), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(s["text"]))))
-    rows = rows.withColumn("_ends", ends)
-    rows = rows.select("record_id", *carry, "n_cuts", "_ends", F.posexplode("_texts").alias("_i", "s"))
-    length = F.col("s.b") - F.col("s.a")
+    edges = F.arrays_zip(F.concat(zero, F.col("_cuts")).alias("a"), F.concat(F.col("_cuts"), F.array("_n")).alias("b"))
+    part = lambda column, e: F.slice(column, (e["a"] + 1).cast("int"), (e["b"] - e["a"]).cast("int"))
+    own = [lambda e, i: e["a"].alias("a"), lambda e, i: e["b"].alias("b"), lambda e, i: (F.aggregate(part("_sizes", e), F.lit(0), lambda s, x: s + x) + F.when(i == 0, F.length("_lead")).otherwise(0)).alias("length")]
+    if include_text:
+        own.append(lambda e, i: F.concat(F.when(i == 0, F.col("_lead")).otherwise(""), F.array_join(part("_pieces", e), "")).alias("text"))
+    rows = T.pin(base, _s=F.transform(edges, lambda e, i: F.struct(*[f(e, i) for f in own]))).select("record_id", *carry, F.size("_cuts").cast("bigint").alias("n_cuts"), "_s")
+    rows = rows.withColumn("_ends", running_sum(F.col("_s.length")))
+    rows = rows.select("record_id", *carry, "n_cuts", F.posexplode(F.arrays_zip(F.col("_s").alias("s"), F.col("_ends").alias("end"))).alias("_i", "x"))
+    length = F.col("x.s.b") - F.col("x.s.a")
     none = F.array().cast("array<string>")
     short = F.when(length < min_words, F.array(F.lit("short"))).otherwise(none) if min_words is not None else none
-    out = rows.select(
-        T.segment_id(F.col("record_id"), F.col("s.index")).alias("segment_id"),
+    index = F.col("_i").cast("bigint")
+    return rows.select(
+        T.segment_id(F.col("record_id"), index).alias("segment_id"),
         "record_id",
-        F.col("s.index").alias("index"),
-        F.col("s.a").alias("word_start"),
-        F.col("s.b").alias("word_end"),
-        F.col("_ends")[F.col("_i")].alias("char_start"),
-        F.col("_ends")[F.col("_i") + 1].alias("char_end"),
+        index.alias("index"),
+        F.col("x.s.a").alias("word_start"),
+        F.col("x.s.b").alias("word_end"),
+        (F.col("x.end") - F.col("x.s.length")).alias("char_start"),
+        F.col("x.end").alias("char_end"),
         length.alias("n_words"),
         "n_cuts",
-        *([F.col("s.text").alias("text")] if include_text else []),
+        *([F.col("x.s.text").alias("text")] if include_text else []),
         F.when(length == 0, F.array(F.lit("empty"))).otherwise(short).alias("flags"),
         *carry,
     )
-    return out
 
 
 def with_errors(docs: DataFrame) -> DataFrame:
     """docs with a column error: null, or why the record can't be cut."""
-    n = T.word_count(F.col("body")).cast("bigint")
-    why = F.when(F.col("body").isNull(), "transcript has no usable body").when(F.instr("record_id", "#") > 0, "record_id holds '#'").otherwise(bad_breaks(F.col("breaks"), n))
-    return docs.withColumn("error", why)
+    return checked(docs).select(*docs.columns, "error")
 
 
 def segment_errors(docs: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def require_full(segments: DataFrame) -> DataFrame:
     """Segments with defaults filled in; a ValueError for minimal rows, which have no offsets."""
     missing = [c for c in ("index", "word_start", "word_end", "char_start", "char_end") if c not in segments.columns]
     if missing:
-        raise ValueError(f"segments lack {missing}: this looks like minimal output, which drops the offsets")
+        raise ValueError(f"segments lack {missing}: this looks like --minimal output, which drops the offsets")
     fill = {"n_words": F.col("word_end") - F.col("word_start"), "n_cuts": F.lit(0).cast("bigint"), "text": F.lit(""), "flags": F.array().cast("array<string>")}
     for name, default in fill.items():
         segments = segments.withColumn(name, F.coalesce(F.col(name), default) if name in segments.columns else default)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from newsloom.functions import anchors as A
 from newsloom.functions import scoring as S
 from newsloom.functions import text as T
+from newsloom.functions.arrays import bisect_left
 from newsloom.operators import metrics
-from newsloom.operators.windows import bisect_left
 
 
 @dataclass(frozen=True)
@@ -72,25 +72,44 @@ def clip(t0: Column, t1: Column, breaks: Column, c: Clipping | dict) -> Column:
 def _windows(annotated: DataFrame, starts: Column, window: Column, p: Clipping | dict, keys: tuple[str, ...], prompt: A.PromptSpec) -> DataFrame:
     """annotated (record_id, words, w2t, n_tokens, breaks, ...) -> all windows, with reject_reason where rejected."""
     tokens = F.transform("breaks", lambda b: F.get("w2t", b.cast("int")))
-    rows = T.pin(annotated, _tok=tokens).withColumn("grid_tok_start", F.explode(starts))
-    rows = rows.withColumn("grid_tok_end", F.least(F.col("grid_tok_start") + window, F.col("n_tokens")))
-    rows = T.pin(rows, _c=clip(F.col("grid_tok_start"), F.col("grid_tok_end"), F.col("_tok"), p))
-    rows = T.pin(rows, win_tok_start=F.col("_c.t0"), win_tok_end=F.col("_c.t1"), win_word_start=bisect_left(F.col("w2t"), F.col("_c.t0")), win_word_end=bisect_left(F.col("w2t"), F.col("_c.t1")))
-    rows = rows.withColumn("breaks_global", F.filter("breaks", lambda b: (b > F.col("win_word_start")) & (b < F.col("win_word_end"))))
+    rows = T.pin(annotated, _tok=tokens, _s=starts)
+    # all windows of a document are clipped and cut before rows are made of them, so that a row carries its own words only
+    def clipped(s: Column) -> Column:
+        end = F.least(s + window, F.col("n_tokens"))
+        return F.struct(s.alias("g0"), end.alias("g1"), clip(s, end, F.col("_tok"), p).alias("c"))
+
+    rows = T.pin(rows, _c=F.transform("_s", clipped))
+    rows = rows.withColumns({"_low": bisect_left(F.col("w2t"), F.col("_c.c.t0")), "_high": bisect_left(F.col("w2t"), F.col("_c.c.t1"))})
+    inside = lambda e: F.filter("breaks", lambda b: (b > e["_low"]) & (b < e["_high"]))
+    own = lambda e: F.struct(
+        e["_c"].alias("c"), e["_low"].alias("low"), e["_high"].alias("high"), inside(e).alias("breaks"),
+        F.transform(inside(e), lambda b: F.get("w2t", b.cast("int")) - e["_c"]["c"]["t0"]).alias("tokens"),
+        F.slice("words", e["_low"] + 1, F.greatest(e["_high"] - e["_low"], F.lit(0))).alias("w"),
+    )
+    kept = [c for c in annotated.columns if c not in ("words", "w2t", "body")]
+    rows = rows.select(*kept, F.explode(F.transform(F.arrays_zip("_c", "_low", "_high"), own)).alias("_x"))
     rows = rows.withColumns(
         {
-            "was_clipped": F.col("_c.note") == "clipped",
-            "breaks_local_tok": F.transform("breaks_global", lambda b: F.get("w2t", b.cast("int")) - F.col("win_tok_start")),
-            "breaks_local_word": F.transform("breaks_global", lambda b: b - F.col("win_word_start")),
-            "n_breaks": F.size("breaks_global"),
-            "category": F.nullif(F.col("_c.category"), F.lit("")),
+            "grid_tok_start": F.col("_x.c.g0"),
+            "grid_tok_end": F.col("_x.c.g1"),
+            "win_tok_start": F.col("_x.c.c.t0"),
+            "win_tok_end": F.col("_x.c.c.t1"),
+            "win_word_start": F.col("_x.low"),
+            "win_word_end": F.col("_x.high"),
+            "breaks_global": F.col("_x.breaks"),
+            "was_clipped": F.col("_x.c.c.note") == "clipped",
+            "breaks_local_tok": F.col("_x.tokens"),
+            "breaks_local_word": F.transform("_x.breaks", lambda b: b - F.col("_x.low")),
+            "n_breaks": F.size("_x.breaks"),
+            "category": F.nullif(F.col("_x.c.c.category"), F.lit("")),
+            "_w": F.col("_x.w"),
+            "_note": F.col("_x.c.c.note"),
         }
-    )
-    rows = T.pin(rows, _w=F.slice("words", F.col("win_word_start") + 1, F.greatest(F.col("win_word_end") - F.col("win_word_start"), F.lit(0))))
+    ).drop("_x")
     rejected = F.col("category").isNull() | (F.col("win_word_end") <= F.col("win_word_start"))
-    reason = F.when(rejected, F.coalesce(F.nullif(F.col("_c.note"), F.lit("")), F.lit("empty_word_span")))
+    reason = F.when(rejected, F.coalesce(F.nullif(F.col("_note"), F.lit("")), F.lit("empty_word_span")))
     lost = F.filter("breaks_local_word", lambda b: ~A.locate(F.col("_w"), F.array_join(F.slice("_w", (F.greatest(b - prompt.anchor_pre_words, F.lit(0)) + 1).cast("int"), F.least(b, F.lit(prompt.anchor_pre_words)).cast("int")), " "))["offset"].eqNullSafe(b.cast("int")))
-    return rows.withColumns({"input_text": F.array_join("_w", " "), "target_text": A.build_target(F.col("_w"), F.col("breaks_local_word"), prompt), "n_anchors_unlocatable": F.size(lost), "reject_reason": reason}).drop("_w", "_c", "_tok", "words", "w2t", "body")
+    return rows.withColumns({"input_text": F.array_join("_w", " "), "target_text": A.build_target(F.col("_w"), F.col("breaks_local_word"), prompt), "n_anchors_unlocatable": F.size(lost), "reject_reason": reason}).drop("_w", "_note")
 
 
 def build_rows(annotated: DataFrame, c: Clipping = Clipping(), prompt: A.PromptSpec = A.PromptSpec()) -> tuple[DataFrame, DataFrame]:
@@ -128,14 +147,27 @@ def manifest(variants: DataFrame, n_gold: int, splits: DataFrame | None = None)
     return out.withColumns({"max_seq_len": F.col("window_tokens") + 1024, "cat_a_share": F.col("n_cat_a") / F.greatest(F.lit(1), F.col("n_rows")), "coverage": F.col("breaks_covered") / F.lit(n_gold)})
 
 
+def _ranked(ids: DataFrame, seed: int, *by: str) -> DataFrame:
+    """ids (record_id, ...) with _r, the place in the order of a hash within each group, and _n, the size of the group.
+
+    Places are counted within hash buckets and what the buckets before hold is added, so that no group is one task.
+    """
+    hashed = ids.withColumn("_h", F.xxhash64(F.lit(seed), "record_id")).withColumn("_b", F.shiftright("_h", 52))
+    sizes = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    # at most 4,096 buckets a group
+    own = W.partitionBy(*by) if by else W.partitionBy()
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_k").over(own.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_k").over(own)})
+    order = W.partitionBy(*by, "_b").orderBy("_h", "record_id")
+    return hashed.join(F.broadcast(sizes.drop("_k")), [*by, "_b"]).withColumn("_r", F.row_number().over(order) + F.col("_before")).drop("_h", "_b", "_before")
+
+
 def assign_splits(annotations: DataFrame, fraction: float = 0.12, seed: int = 42) -> DataFrame:
     """record_id, split: held-out records test; of each category, a share in hash order val; the rest train.
 
     Sizes are max(1, round-half-even(share)); membership follows a hash, so that
     no ids are gathered.  `shuffled_splits` gives the seeded shuffle's members.
     """
-    order = W.partitionBy("category").orderBy(F.xxhash64(F.lit(seed), "record_id"), "record_id")
-    pool = annotations.where("not heldout").withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("category")))
+    pool = _ranked(annotations.where("not heldout").select("record_id", "category"), seed, "category")
     take = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(float(fraction))).cast("int"))
     chosen = pool.select("record_id", F.when(F.col("_r") <= take, "val").otherwise("train").alias("split"))
     return annotations.where("heldout").select("record_id", F.lit("test").alias("split")).unionByName(chosen)
@@ -159,27 +191,31 @@ def shuffled_splits(annotations: DataFrame, fraction: float = 0.12, seed: int =
 
 
 def sample_by_record(rows: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """The rows of a share of the records, never a share of one record's rows."""
-    ids = rows.select("record_id").distinct()
-    counted = ids.agg(F.count(F.lit(1)).alias("_n"))
-    order = W.partitionBy("_b").orderBy("_h", "record_id")
-    # ranks within hash buckets, plus what the buckets before hold: no single-task sort
-    hashed = ids.withColumn("_h", F.xxhash64(F.lit(seed), "record_id")).withColumn("_b", F.shiftright("_h", 56))
-    sizes = hashed.groupBy("_b").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = hashed.join(F.broadcast(sizes.select("_b", "_before")), "_b").withColumn("_r", F.row_number().over(order) + F.col("_before"))
-    keep = ranked.crossJoin(F.broadcast(counted)).where(F.col("_r") <= F.greatest(F.lit(1), (F.col("_n") * F.lit(float(fraction))).cast("int"))).select("record_id")
+    """The rows of a share of the records, the first in the order of a hash, never a share of one record's rows."""
+    ranked = _ranked(rows.select("record_id").distinct(), seed)
+    keep = ranked.where(F.col("_r") <= F.greatest(F.lit(1), (F.col("_n") * F.lit(float(fraction))).cast("int"))).select("record_id")
     return rows.join(keep, "record_id", "left_semi")
 
 
-def lower_quantile(values: Column, q: float) -> Column:
-    """The value at int(q * (n - 1)) of the sorted values, never interpolated."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.lit(float(q)) * (F.size(ordered) - 1)).cast("int") + 1)
+def quantiles(rows: DataFrame, value: Column, **wanted: Column) -> DataFrame:
+    """One row: for each name the value at a place, from 0, of the sorted values, never interpolated; null if there are none.
+
+    wanted gives the places in terms of a column n, the number of values.  Values are counted first, so that what one
+    task sorts is the different ones; of widths there are no more than a window has tokens.
+    """
+    counts = rows.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+    order = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.withColumns({"last": F.sum("k").over(order), "n": F.sum("k").over(W.partitionBy())})
+    return ranked.agg(*[F.max(F.when((place >= F.col("last") - F.col("k")) & (place < F.col("last")), F.col("v"))).alias(name) for name, place in wanted.items()])
+
+
+def lower(q: float) -> Column:
+    """The place of a lower quantile: int(q * (n - 1))."""
+    return (F.lit(float(q)) * (F.col("n") - 1)).cast("bigint")
 
 
-def upper_median(values: Column) -> Column:
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1)
+def upper_median() -> Column:
+    return F.floor(F.col("n") / 2)
 
 
 def split_grid(rows: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import anchors as A
 from newsloom.functions import scoring as S
 from newsloom.functions import text as T
+from newsloom.functions.arrays import bisect_left
 from newsloom.operators import postprocess
 
 
@@ -75,20 +76,20 @@ def token_maps(docs: DataFrame, tokenizer: Tokenizer = regex_tokenizer) -> DataF
     return out.withColumn("n_tokens", F.element_at("w2t", -1))
 
 
-def bisect_left(sorted_values: Column, value: Column) -> Column:
-    return F.size(F.filter(sorted_values, lambda x: x < value))
-
-
 def enumerate_windows(mapped: DataFrame, geometry: Geometry, prompt: A.PromptSpec | None = None) -> DataFrame:
-    """One row for each window with words: record_id, window, word_start, words, is_first, is_last (by grid position), and a prompt if asked for."""
+    """One row for each window with words: record_id, window, word_start, words, is_first, is_last (by grid position), and a prompt if asked for.
+
+    All windows of a document are cut before rows are made of them, so that a row carries its own words only.
+    """
     starts = S.window_starts(F.col("n_tokens"), geometry.window_tokens, geometry.stride_tokens, geometry.tail_window_min_advance)
-    rows = mapped.withColumn("_starts", starts).withColumn("_n", F.size("_starts"))
-    rows = rows.select("record_id", "words", "w2t", "n_tokens", "_n", F.posexplode("_starts").alias("window", "token_start"))
-    token_end = F.least(F.col("token_start") + geometry.window_tokens, F.col("n_tokens"))
-    rows = rows.withColumns({"word_start": bisect_left(F.col("w2t"), F.col("token_start")), "word_end": bisect_left(F.col("w2t"), token_end), "token_end": token_end})
-    rows = rows.where("word_end > word_start")
-    own = F.slice("words", F.col("word_start") + 1, F.col("word_end") - F.col("word_start"))
-    out = rows.select("record_id", "window", "token_start", "token_end", "word_start", "word_end", (F.col("window") == 0).alias("is_first"), (F.col("window") == F.col("_n") - 1).alias("is_last"), own.alias("words"))
+    rows = T.pin(mapped.select("record_id", "words", "w2t", "n_tokens"), _starts=starts)
+    rows = T.pin(rows, _ends=F.transform("_starts", lambda s: F.least(s + geometry.window_tokens, F.col("n_tokens"))))
+    rows = rows.withColumns({"_low": bisect_left(F.col("w2t"), F.col("_starts")), "_high": bisect_left(F.col("w2t"), F.col("_ends"))})
+    own = lambda e, i: F.struct(
+        i.alias("window"), e["_starts"].alias("token_start"), e["_ends"].alias("token_end"), e["_low"].alias("word_start"), e["_high"].alias("word_end"),
+        (i == 0).alias("is_first"), (i == F.size("_starts") - 1).alias("is_last"), F.slice("words", e["_low"] + 1, e["_high"] - e["_low"]).alias("words"),
+    )
+    out = rows.select("record_id", F.explode(F.transform(F.arrays_zip("_starts", "_ends", "_low", "_high"), own)).alias("x")).select("record_id", "x.*").where("word_end > word_start")
     return out.withColumn("prompt", prompt.render(F.array_join("words", " "))) if prompt else out
 
 
@@ -169,6 +170,7 @@ def window_scores(generated: DataFrame, prompt: A.PromptSpec = A.PromptSpec(), g
     return rows.select(
         "record_id",
         "word_start",
+        *[c for c in ("error",) if c in generated.columns],
         "p_break",
         "p_none",
         (F.col("p_break") > F.col("p_none")).alias("greedy_would_fire"),
@@ -180,15 +182,25 @@ def window_scores(generated: DataFrame, prompt: A.PromptSpec = A.PromptSpec(), g
 
 
 def score_windows(docs: DataFrame, geometry: Geometry, scorer: Scorer | None = None, tokenizer: Tokenizer = regex_tokenizer, prompt: A.PromptSpec = A.PromptSpec(), decode: DecodeSpec = DecodeSpec(), partitions: int | None = None) -> DataFrame:
-    """Every window of docs scored, without a threshold; the costly stage, to be written once and swept often."""
+    """Every window of docs scored, without a threshold; the costly stage, to be written once and swept often.
+
+    A window whose scorer failed is a row with an error and no breaks; see `lost`.
+    """
     windows = enumerate_windows(token_maps(docs, tokenizer), geometry, prompt)
     if partitions:
         windows = windows.repartition(partitions, "record_id", "window")
-    return window_scores(run_scorer(windows, scorer or rule_scorer(prompt), decode).where("error is null"), prompt, geometry.guard_fraction, decode.strict_anchors)
+    return window_scores(run_scorer(windows, scorer or rule_scorer(prompt), decode), prompt, geometry.guard_fraction, decode.strict_anchors)
+
+
+def lost(scores: DataFrame) -> DataFrame:
+    """record_id, error: the records of which a window couldn't be scored; a prediction from the others would be a part that looks whole."""
+    return scores.where("error is not null").groupBy("record_id").agg(F.min("error").alias("error"))
 
 
 def segment_documents(scores: DataFrame, docs: DataFrame, tau: float = postprocess.TAU, decode: DecodeSpec = DecodeSpec()) -> DataFrame:
-    """Predictions: record_id, word_count, pred_breaks, tau and the counts of lost anchors."""
+    """Predictions: record_id, word_count, pred_breaks, tau and the counts of lost anchors, of all records but those that are `lost`."""
+    if "error" in scores.columns:
+        docs = docs.join(lost(scores).select("record_id"), "record_id", "left_anti")
     counts = scores.groupBy("record_id").agg(F.sum("unlocatable").alias("n_unlocatable_anchors"), F.sum("ambiguous").alias("n_ambiguous_anchors"))
     base = docs.select("record_id", T.word_count(F.col("body")).cast("bigint").alias("word_count"), *[c for c in ("outlet", "show", "date") if c in docs.columns])
     out = postprocess.apply_threshold(scores, base, tau, decode.dedupe_tolerance_words).join(counts, "record_id", "left")

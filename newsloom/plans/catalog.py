@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import anchors as A
 from newsloom.functions import scoring as S
 from newsloom.functions import text as T
-from newsloom.operators import metrics, postprocess, reconcile, segments, training, validation, windows
+from newsloom.operators import accounting, metrics, postprocess, reconcile, segments, training, validation, windows
 from newsloom.plans.inputs import BASE, matched, rates, scored_windows, table, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,9 +96,9 @@ SELECT CAST(sum(kept) AS BIGINT) AS n_kept, CAST(sum(dropped) AS BIGINT) AS n_dr
 def drop_flagged_accounting(spark, sf_dir):
     """Segments kept and dropped by flag, and records that lost all of theirs."""
     rows = segments.to_segments(transcripts(spark, sf_dir), min_words=8, include_text=False)
-    hit = F.size("flags") > 0
-    by_record = rows.groupBy("record_id").agg(F.count_if(~hit).alias("kept"), F.count_if(hit).alias("dropped"))
-    return by_record.agg(F.sum("kept").alias("n_kept"), F.sum("dropped").alias("n_dropped"), F.count_if(F.col("kept") == 0).alias("n_vanished"))
+    kept, dropped = segments.drop_flagged(rows)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return count(kept, "n_kept").crossJoin(count(dropped, "n_dropped")).crossJoin(count(segments.vanished(rows, kept), "n_vanished"))
 
 
 @query(f"""{_SEGMENTS} SELECT record_id, CAST(count(*) AS BIGINT) AS n_segments, CAST(sum(word_end - word_start) AS BIGINT) AS n_words FROM o GROUP BY record_id""")
@@ -108,11 +108,43 @@ def group_by_record(spark, sf_dir):
     return grouped.select("record_id", F.size("segments").cast("bigint").alias("n_segments"), F.aggregate("segments", F.lit(0).cast("bigint"), lambda s, x: s + x["n_words"]).alias("n_words"))
 
 
-@query(f"WITH {BASE} SELECT record_id, b AS rejected FROM (SELECT record_id, n, unnest(list_concat(breaks, [CAST(0 AS BIGINT), n, -1])) AS b FROM t) WHERE b <= 0 OR b >= n")
+@query(f"""WITH {BASE}, x AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN '0' WHEN 1 THEN CAST(n AS VARCHAR) WHEN 2 THEN '-1,' || (n + 5) END AS bad FROM t)
+SELECT CASE WHEN doc_id % 13 = 0 THEN 'a#' ELSE '' END || record_id AS record_id, CASE WHEN doc_id % 13 = 0 THEN 'record_id holds ' || chr(39) || '#' || chr(39) WHEN doc_id % 11 = 0 THEN 'no usable breaks' ELSE 'boundaries outside (0, ' || n || '): [' || bad || ']' END AS error
+FROM x WHERE doc_id % 13 = 0 OR doc_id % 11 = 0 OR bad IS NOT NULL""")
 def segment_bad_breaks(spark, sf_dir):
-    """Boundaries that can't cut, among the gold ones and three bad ones per record."""
-    docs = transcripts(spark, sf_dir).withColumn("breaks", F.concat("breaks", F.array(F.lit(0).cast("bigint"), F.col("n"), F.lit(-1).cast("bigint"))))
-    return docs.select("record_id", "n", F.explode("breaks").alias("rejected")).where("rejected <= 0 or rejected >= n").drop("n")
+    """Records that can't be cut, among sound ones, and why."""
+    long = lambda *x: F.array(*x).cast("array<bigint>")
+    turn = F.col("doc_id") % 4
+    bad = F.when(turn == 0, long(F.lit(0))).when(turn == 1, long(F.col("n"))).when(turn == 2, long(F.lit(-1), F.col("n") + 5)).otherwise(long())
+    docs = transcripts(spark, sf_dir).withColumn("breaks", F.when(F.col("doc_id") % 11 != 0, F.concat("breaks", bad)))
+    return segments.segment_errors(docs.withColumn("record_id", F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("a#"), "record_id")).otherwise(F.col("record_id"))))
+
+
+@query(f"""WITH {BASE} SELECT record_id,
+  CASE WHEN doc_id % 17 = 0 THEN 'no transcript' WHEN doc_id % 19 = 0 THEN 'it was predicted for ' || (n + 1) || ' words of different text, the transcript has ' || n
+       WHEN doc_id % 23 = 0 THEN 'transcript has no usable body' WHEN doc_id % 29 = 0 THEN 'boundaries outside (0, ' || n || '): [0]' END AS problem,
+  doc_id % 17 = 0 OR doc_id % 19 = 0 AS fatal
+FROM t WHERE doc_id % 23 <> 0 OR doc_id % 19 <> 0""")
+def segments_guards(spark, sf_dir):
+    """Predictions joined to their transcripts, with planted faults: fatal ones, and ones that lose a record."""
+    t = transcripts(spark, sf_dir).where("doc_id % 23 <> 0 or doc_id % 19 <> 0")
+    d = F.col("doc_id")
+    theirs = t.where("doc_id % 17 <> 0").select("record_id", F.when(d % 23 != 0, F.col("body")).alias("body"), F.lit(1).alias("ordinal"))
+    older = theirs.withColumns({"body": F.lit("not the last one"), "ordinal": F.lit(0)})
+    pred = t.select("record_id", F.when(d % 29 == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.col("run_a")).alias("pred_breaks"), (F.col("n") + F.when(d % 19 == 0, 1).otherwise(0)).alias("word_count"))
+    return accounting.cuts(older.union(theirs), pred).select("record_id", "problem", "fatal")
+
+
+@query(f"""{_SEGMENTS}, r AS (
+  SELECT record_id, index, word_end, {_FLAG} = '' AS keep FROM o WHERE CAST(record_id AS BIGINT) % 5 <> 0 OR index <> 1
+), g AS (SELECT record_id, count(*) FILTER (WHERE keep) AS kept, max(index) FILTER (WHERE keep) AS last, max(word_end) FILTER (WHERE keep) AS words FROM r GROUP BY record_id)
+SELECT record_id, CASE WHEN kept = 0 THEN 'vanished' WHEN kept = last + 1 THEN 'rebuilt' ELSE 'failed' END AS outcome, CASE WHEN kept = last + 1 THEN words END AS word_count,
+  CASE WHEN kept = 0 THEN 'every segment was dropped' WHEN kept <> last + 1 THEN 'segments are missing or duplicated' END AS error FROM g""")
+def merge_accounting(spark, sf_dir):
+    """What becomes of each record when some segments are missing and flagged ones are dropped."""
+    rows = segments.to_segments(transcripts(spark, sf_dir), min_words=8)
+    rows = rows.where((F.col("record_id").cast("bigint") % 5 != 0) | (F.col("index") != 1))
+    return accounting.merged(rows, drop_flagged=True).select("record_id", "outcome", "word_count", "error")
 
 
 @query(f"""WITH {BASE} SELECT record_id, CAST(c AS BIGINT) AS char_start, k - 1 AS word FROM (
@@ -193,12 +225,34 @@ def absent_gold(spark, sf_dir):
     return metrics.absent_gold(transcripts(spark, sf_dir), labels).select("record_id")
 
 
-@query("SELECT CAST(l.doc_id + 100000000 AS VARCHAR) AS record_id FROM labels l")
+@query("""SELECT CAST(id AS VARCHAR) AS record_id FROM (SELECT CASE WHEN doc_id % 2 = 1 THEN doc_id + 100000000 ELSE doc_id END AS id FROM labels) l
+WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.id AND d.text IS NOT NULL)""")
 def orphan_predictions(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select((F.col("doc_id") + 100000000).cast("string").alias("record_id"))
+    """Predictions without gold, among ones with."""
+    moved = F.col("doc_id") + F.when(F.col("doc_id") % 2 == 1, 100000000).otherwise(0)
+    labels = table(spark, sf_dir, "labels").select(moved.cast("string").alias("record_id"))
     return metrics.orphans(transcripts(spark, sf_dir), labels).select("record_id")
 
 
+@query(f"""WITH {BASE}, g AS (SELECT * FROM t WHERE doc_id % 3 <> 0), p AS (SELECT record_id, doc_id, n + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS words FROM t WHERE doc_id % 2 = 0)
+SELECT (SELECT count(*) FROM g) AS n_gold, (SELECT count(*) FROM p) AS n_pred, count(p.record_id) AS n_shared, count(*) FILTER (WHERE p.record_id IS NULL) AS n_absent,
+  CAST(coalesce(sum(len(breaks)) FILTER (WHERE p.record_id IS NULL), 0) AS BIGINT) AS at_stake, (SELECT count(*) FROM p WHERE doc_id % 3 = 0) AS n_orphans, count(*) FILTER (WHERE words <> n) AS n_drift
+FROM g LEFT JOIN p USING (record_id)""")
+def score_accounting(spark, sf_dir):
+    """What a score leaves out: gold without prediction, predictions without gold, other texts."""
+    g = _gold(spark, sf_dir)
+    pred = g.where("doc_id % 2 = 0").select("record_id", (F.col("n") + F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)).alias("word_count"))
+    return accounting.scored(g.where("doc_id % 3 <> 0"), pred)
+
+
+@query(f"""WITH {BASE} SELECT record_id FROM t WHERE len(breaks) > 1 AND doc_id % 3 <> 0""")
+def split_gold(spark, sf_dir):
+    """The gold of the records that a split has rows of; rows repeat records, and some have no gold."""
+    t = transcripts(spark, sf_dir)
+    rows = t.where("size(breaks) > 1").select("record_id", F.explode("breaks").alias("b"))
+    return accounting.expected(rows, t.where("doc_id % 3 <> 0")).select("record_id")
+
+
 @query(f"WITH {BASE} SELECT record_id, n AS gold_words, n + doc_id % 2 AS pred_words FROM t WHERE doc_id % 2 <> 0")
 def word_count_drift(spark, sf_dir):
     g = _gold(spark, sf_dir)
@@ -258,7 +312,25 @@ def baseline_none_score(spark, sf_dir):
     return metrics.pool(metrics.match_documents(t, pred="guess"))
 
 
-@query()
+_SYSTEMS = f"""WITH RECURSIVE {BASE}, {_UNIFORM}, d AS (
+  SELECT record_id, 'model' AS system, breaks, run_a AS guess, n FROM t UNION ALL SELECT record_id, 'none', breaks, CAST([] AS BIGINT[]), n FROM t UNION ALL SELECT record_id, 'uniform', breaks, guess, n FROM u
+), {matched('breaks', 'guess', '25', 'd', 'record_id, system')}, sc AS ({rates('SELECT system, ' + _COUNTS.replace('len(pred)', 'len(guess)') + ' FROM used JOIN d USING (record_id, system) GROUP BY system', 'system')}),
+k AS (SELECT *, least(greatest(2, CAST(round_even(n::DOUBLE / (len(breaks) + 1) / 2, 0) AS BIGINT)), n - 1) AS k FROM d WHERE n >= 4), probe AS (
+  SELECT record_id, system, len(list_filter(breaks, lambda b: b > i AND b <= i + k)) AS g, len(list_filter(guess, lambda b: b > i AND b <= i + k)) AS p FROM (SELECT *, unnest(range(0, n - k)) AS i FROM k WHERE n > k)
+), pd AS (SELECT system, avg(CASE WHEN (g = 0) <> (p = 0) THEN 1.0::DOUBLE ELSE 0.0 END) AS pk, avg(CASE WHEN g <> p THEN 1.0::DOUBLE ELSE 0.0 END) AS wd FROM probe GROUP BY record_id, system),
+b AS (SELECT sc.*, round(pk, 6) AS pk, round(wd, 6) AS windowdiff FROM sc JOIN (SELECT system, avg(pk) AS pk, avg(wd) AS wd FROM pd GROUP BY system) USING (system))"""
+
+
+@query(f"{_SYSTEMS} SELECT * FROM b")
+def baseline_scores(spark, sf_dir):
+    """run_a and both baselines: rates, Pk and WindowDiff."""
+    docs = _gold(spark, sf_dir).withColumn("pred_breaks", F.col("run_a"))
+    return _rounded(metrics.baseline_scores(docs), "precision", "recall", "f1", "pk", "windowdiff")
+
+
+@query(f"""{_SYSTEMS} SELECT max(f1) FILTER (WHERE system = 'model') > max(f1) FILTER (WHERE system = 'uniform')
+  AND coalesce(nullif(max(windowdiff) FILTER (WHERE system = 'model'), 0), 1) < coalesce(nullif(max(windowdiff) FILTER (WHERE system = 'uniform'), 0), 1)
+  AND coalesce(nullif(max(windowdiff) FILTER (WHERE system = 'model'), 0), 1) < coalesce(nullif(max(windowdiff) FILTER (WHERE system = 'none'), 0), 1) AS ship FROM b""")
 def ship_gate(spark, sf_dir):
     """Whether run_a beats both baselines."""
     docs = _gold(spark, sf_dir).withColumn("pred_breaks", F.col("run_a"))
@@ -288,7 +360,7 @@ def apply_threshold(spark, sf_dir):
     return out.select("record_id", F.array_join(F.col("pred_breaks").cast("array<string>"), ",").alias("pred_breaks"))
 
 
-_TAUS = (0.9, 0.5, 0.1, 0.01, 0.0)
+_TAUS = postprocess.THRESHOLDS
 _SWEEP = f"""WITH RECURSIVE {BASE}, taus AS (SELECT unnest([{', '.join(map(str, _TAUS))}])::DOUBLE AS tau),
 f AS (SELECT w.*, tau FROM w, taus WHERE p_break > tau), {_CHAIN.format(key=', tau', source='f')},
 l AS (SELECT record_id, tau, list(b ORDER BY b) AS p FROM c3 GROUP BY record_id, tau),
@@ -386,7 +458,7 @@ _PRE, _POST = "list_slice(ws, greatest(b - 12, 0) + 1, b)", "list_slice(ws, b +
 _HITS = """y AS (
   SELECT *, {pre} AS pre, {post} AS post FROM (SELECT *, unnest(local) AS b, generate_subscripts(local, 1) AS ordinal FROM x)
 ), z AS (
-  SELECT *, list_filter(range(0, nw - len(pre) + 1), lambda i: ws[i + 1] = pre[1] AND list_slice(ws, i + 1, i + len(pre)) = pre) AS hits FROM y
+  SELECT *, list_filter(list_filter(range(0, nw - len(pre) + 1), lambda i: ws[i + 1] = pre[1]), lambda i: list_slice(ws, i + 1, i + len(pre)) = pre) AS hits FROM y
 )""".format(pre=_PRE, post=_POST)
 
 
@@ -424,37 +496,61 @@ def window_scores(spark, sf_dir):
     return s.withColumns(whole | {"breaks": F.array_join(F.col("breaks").cast("array<string>"), ",")}).select("record_id", "word_start", "breaks", "ambiguous", "degenerate", "unlocatable")
 
 
-@query()
+_CUTS = f"""{_GRID}, x0 AS (
+  SELECT record_id, win, word_start, word_end - word_start AS nw, is_first, is_last, list_slice(words, word_start + 1, word_end) AS ws FROM g WHERE word_end > word_start
+), x1 AS (
+  SELECT *, list_filter(range(1, nw), lambda i: ends_with(ws[i], '.') AND regexp_matches(ws[i + 1], '^\\p{{Lu}}')) AS every FROM x0
+), x AS (
+  SELECT *, list_filter(every, lambda b, j: (j - 1) % 3 = 0) AS local FROM x1
+)"""
+
+
+@query(f"""{_CUTS}, {_HITS}, q AS (SELECT *, hits[1] + len(pre) AS o, len(hits) > 1 AS amb, CAST(floor(0.1::DOUBLE * nw) AS BIGINT) AS mar FROM z),
+q2 AS (SELECT *, (NOT is_first AND o < mar) OR (NOT is_last AND o > nw - mar) OR (is_first AND o = 0) OR (is_last AND o = nw) AS gone FROM q),
+q3 AS (SELECT record_id, list(word_start + o) AS breaks FROM q2 WHERE NOT gone AND least(0.999, len(local) / 10.0) > 0.05 GROUP BY record_id), {_CHAIN.format(key='', source='q3')},
+l AS (SELECT record_id, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS p FROM c3 GROUP BY record_id), am AS (SELECT record_id, count(*) FILTER (WHERE amb) AS n FROM q GROUP BY record_id)
+SELECT t.record_id, t.n AS word_count, t.outlet, t."show", coalesce(p, '') AS pred_breaks, CAST(0 AS BIGINT) AS n_unlocatable_anchors, coalesce(am.n, 0) AS n_ambiguous_anchors, 0.05::DOUBLE AS tau
+FROM t LEFT JOIN l USING (record_id) LEFT JOIN am ON am.record_id = t.record_id""")
 def segment_documents(spark, sf_dir):
     """Windows, scorer (a stand-in), anchors, threshold: a predictions table."""
     docs = transcripts(spark, sf_dir)
     scores = windows.score_windows(docs, _GEOMETRY, tokenizer=windows.chunk_tokenizer)
-    return windows.segment_documents(scores, docs, 0.05)
+    out = windows.segment_documents(scores, docs, 0.05)
+    return _whole(out, "n_unlocatable_anchors", "n_ambiguous_anchors").withColumn("pred_breaks", F.array_join(F.col("pred_breaks").cast("array<string>"), ","))
 
 
 # --- reconciling -------------------------------------------------------------
 
 
-def _two_runs(spark: SparkSession, sf_dir: str, overlap: float = 0.6) -> DataFrame:
+def _two_runs(spark: SparkSession, sf_dir: str, overlap: float = 0.6, old: str = "true", new: str = "true") -> DataFrame:
     t = transcripts(spark, sf_dir)
-    cut = lambda run: segments.to_segments(t.withColumn("breaks", F.col(run)), include_text=False)
-    return reconcile.reconcile(cut("run_a"), cut("run_b"), min_overlap=overlap)
+    cut = lambda run, where: segments.to_segments(t.where(where).withColumn("breaks", F.col(run)), include_text=False)
+    return reconcile.reconcile(cut("run_a", old), cut("run_b", new), min_overlap=overlap)
 
 
 _SID = "record_id || '#' || lpad(CAST({i} AS VARCHAR), CAST(greatest(3, length(CAST({i} AS VARCHAR))) AS INTEGER), '0')"
 
 
-def _side(run: str) -> str:
-    return f"SELECT record_id, i - 1 AS i, {_SID.format(i='(i - 1)')} AS id, CASE WHEN i = 1 THEN 0 ELSE {run}[i - 1] END AS a, CASE WHEN i > len({run}) THEN n ELSE {run}[i] END AS b FROM (SELECT *, unnest(range(1, len({run}) + 2)) AS i FROM t)"
+def _side(run: str, where: str) -> str:
+    return f"SELECT record_id, i - 1 AS i, {_SID.format(i='(i - 1)')} AS id, CASE WHEN i = 1 THEN 0 ELSE {run}[i - 1] END AS a, CASE WHEN i > len({run}) THEN n ELSE {run}[i] END AS b FROM (SELECT *, unnest(range(1, len({run}) + 2)) AS i FROM t WHERE {where})"
 
 
-# above one half each segment has at most one partner, so no greedy search is needed
-_RECONCILE = f"""WITH {BASE}, o AS ({_side('run_a')}), n AS ({_side('run_b')}),
+def _reconcile(overlap: float, old: str = "true", new: str = "true") -> str:
+    """Correspondences c; above one half each segment has at most one partner, below the best are taken one by one."""
+    greedy = f"""cand AS (SELECT record_id, oi, ni, row_number() OVER (PARTITION BY record_id ORDER BY j DESC, oi, ni) AS rk FROM y WHERE j >= {overlap}), st AS (
+  SELECT DISTINCT record_id, CAST([] AS BIGINT[]) AS ug, CAST([] AS BIGINT[]) AS up, CAST(0 AS BIGINT) AS rk FROM cand
+  UNION ALL
+  SELECT record_id, ug, up, rk FROM (
+    SELECT s.record_id, list_append(s.ug, c.oi) AS ug, list_append(s.up, c.ni) AS up, c.rk, row_number() OVER (PARTITION BY s.record_id ORDER BY c.rk) AS nth
+    FROM st s JOIN cand c ON s.record_id = c.record_id AND c.rk > s.rk AND NOT list_contains(s.ug, c.oi) AND NOT list_contains(s.up, c.ni)) WHERE nth = 1
+), used AS (SELECT record_id, arg_max(ug, len(ug)) AS ug, arg_max(up, len(up)) AS up FROM st GROUP BY record_id),
+p AS (SELECT y.* FROM y JOIN (SELECT record_id, unnest(ug) AS oi, unnest(up) AS ni FROM used) u ON u.record_id = y.record_id AND u.oi = y.oi AND u.ni = y.ni)"""
+    return f"""WITH RECURSIVE {BASE}, o AS ({_side('run_a', old)}), n AS ({_side('run_b', new)}),
 x AS (SELECT o.record_id, o.i AS oi, n.i AS ni, o.id AS oid, n.id AS nid, o.a AS oa, o.b AS ob, n.a AS na, n.b AS nb,
   greatest(0, least(o.b, n.b) - greatest(o.a, n.a)) AS inter FROM o JOIN n ON o.record_id = n.record_id),
 y AS (SELECT *, CASE WHEN ob - oa + nb - na - inter <> 0 THEN inter / (ob - oa + nb - na - inter)::DOUBLE WHEN oa = na AND ob = nb THEN 1.0 ELSE 0.0 END AS j,
   nb > na AND inter >= 0.5 * (nb - na) AS nin, ob > oa AND inter >= 0.5 * (ob - oa) AS oin FROM x),
-p AS (SELECT * FROM y WHERE j >= 0.6),
+{f"p AS (SELECT * FROM y WHERE j >= {overlap})" if overlap > 0.5 else greedy},
 pairs AS (SELECT p.*, EXISTS (SELECT 1 FROM y WHERE y.record_id = p.record_id AND y.oi = p.oi AND y.ni <> p.ni AND y.nin) AS split, EXISTS (SELECT 1 FROM y WHERE y.record_id = p.record_id AND y.ni = p.ni AND y.oi <> p.oi AND y.oin) AS merged FROM p),
 lone_o AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.record_id = o.record_id AND p.oi = o.i)),
 lone_n AS (SELECT n.* FROM n WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.record_id = n.record_id AND p.ni = n.i)),
@@ -469,12 +565,33 @@ c AS (
 )"""
 
 
+_RECONCILE = _reconcile(0.6)
+
+
 @query(f"{_RECONCILE} SELECT * FROM c")
 def reconcile_pairs(spark, sf_dir):
     """How the segments of run_a relate to those of run_b."""
     return _rounded(_two_runs(spark, sf_dir).drop("ordinal"), "overlap")
 
 
+@query(f"{_reconcile(0.3)} SELECT * FROM c")
+def reconcile_low_overlap(spark, sf_dir):
+    """Pairs that share less than half: the best are taken first."""
+    return _rounded(_two_runs(spark, sf_dir, 0.3).drop("ordinal"), "overlap")
+
+
+@query(f"{_reconcile(0.0)} SELECT * FROM c")
+def reconcile_any_overlap(spark, sf_dir):
+    """Every pair of a record is a candidate."""
+    return _rounded(_two_runs(spark, sf_dir, 0.0).drop("ordinal"), "overlap")
+
+
+@query(f"{_reconcile(0.6, 'doc_id % 3 <> 0', 'doc_id % 4 <> 0')} SELECT * FROM c")
+def reconcile_one_sided(spark, sf_dir):
+    """Records that only one of the runs has."""
+    return _rounded(_two_runs(spark, sf_dir, 0.6, "doc_id % 3 <> 0", "doc_id % 4 <> 0").drop("ordinal"), "overlap")
+
+
 @query(f"{_RECONCILE} SELECT status, count(*) AS n FROM c GROUP BY status")
 def reconcile_status_counts(spark, sf_dir):
     return reconcile.status_counts(_two_runs(spark, sf_dir))
@@ -571,7 +688,7 @@ SELECT x[1 + CAST(floor(0.5::DOUBLE * (len(x) - 1)) AS BIGINT)] AS p50, x[1 + CA
 def width_quantiles(spark, sf_dir):
     rows = _training(spark, sf_dir)[0]
     width = (F.col("win_tok_end") - F.col("win_tok_start")).cast("bigint")
-    return rows.agg(training.lower_quantile(width, 0.5).alias("p50"), training.lower_quantile(width, 0.95).alias("p95"), training.upper_median(width).alias("median"))
+    return training.quantiles(rows, width, p50=training.lower(0.5), p95=training.lower(0.95), median=training.upper_median())
 
 
 @query(f"""{_CLIP}, r AS (SELECT *, CASE WHEN category = 'true_transition' THEN 1 ELSE 0 END AS a FROM v WHERE NOT rejected), c AS (SELECT sum(a) AS na, count(*) - sum(a) AS nc FROM r)
@@ -604,23 +721,45 @@ def sample_by_record(spark, sf_dir):
     return training.sample_by_record(transcripts(spark, sf_dir), 0.3).agg(F.count_distinct("record_id").alias("n_records"))
 
 
-_SMALL_GRID = ((256, 512), (0.5, 0.75), (20, 40))
-
-
-@query()
+_GRIDS = _MAPS.replace("WITH ", "WITH RECURSIVE ", 1) + """, gr AS (SELECT w, r, g, CAST(floor(w * r) AS BIGINT) AS s FROM (SELECT unnest([2048, 3072, 4096]) AS w), (SELECT unnest([0.5, 0.75])::DOUBLE AS r), (SELECT unnest([200, 300, 400]) AS g)),
+k0 AS (SELECT record_id, breaks, w2t, w2t[len(w2t)] AS nt, list_transform(breaks, lambda b: w2t[b + 1]) AS bt FROM m),
+k1 AS (SELECT k0.*, gr.* FROM k0, gr),
+k2 AS (SELECT *, CASE WHEN nt <= w THEN [CAST(0 AS BIGINT)] ELSE list_concat(range(0, nt - w + 1, s), CASE WHEN (nt - w) - ((nt - w) // s) * s >= 256 THEN [nt - w] ELSE CAST([] AS BIGINT[]) END) END AS starts FROM k1),
+k AS (SELECT * EXCLUDE (starts), unnest(starts) AS g0 FROM k2),
+z AS (
+  SELECT record_id, w, r, g, g0, bt, g0 AS t0, least(g0 + w, nt) AS t1, 0 AS turn, false AS done, '' AS category FROM k
+  UNION ALL
+  SELECT record_id, w, r, g, g0, bt, CASE WHEN small THEN t0 ELSE coalesce(lead_, t0) END, CASE WHEN small THEN t1 ELSE coalesce(trail, t1) END, turn + 1, small OR (lead_ IS NULL AND trail IS NULL),
+    CASE WHEN small OR lead_ IS NOT NULL OR trail IS NOT NULL THEN '' WHEN len(list_filter(bt, lambda b: b > t0 AND b < t1)) > 0 THEN 'true_transition' ELSE 'pure_continuation' END
+  FROM (SELECT *, t1 - t0 < greatest(2 * g, w // 4) AS small, list_max(list_filter(bt, lambda b: b > t0 AND b < t0 + g)) AS lead_, list_min(list_filter(bt, lambda b: b > t1 - g AND b < t1)) AS trail FROM z WHERE NOT done AND turn < 32)
+), e0 AS (SELECT record_id, w, r, g, g0, arg_max(t0, turn) AS t0, arg_max(t1, turn) AS t1, arg_max(category, turn) AS category FROM z GROUP BY ALL),
+e1 AS (SELECT e0.*, k0.breaks, len(list_filter(w2t, lambda x: x < t0)) AS w0, len(list_filter(w2t, lambda x: x < t1)) AS w1, CAST(record_id AS BIGINT) % 10 AS part FROM e0 JOIN k0 USING (record_id)),
+e AS (SELECT *, category <> '' AND w1 > w0 AS kept, list_filter(breaks, lambda b: b > w0 AND b < w1) AS bg FROM e1),
+cov AS (SELECT w, r, g, count(*) AS covered FROM (SELECT DISTINCT w, r, g, record_id, unnest(bg) AS b FROM e WHERE kept) GROUP BY w, r, g)
+SELECT 'w' || w || '_s' || s || '_g' || g AS variant_id, CAST(w AS BIGINT) AS window_tokens, s AS stride_tokens, r AS stride_ratio, CAST(g AS BIGINT) AS edge_guard_lo, a.* EXCLUDE (w, r, g), coalesce(covered, 0) AS breaks_covered, CAST(w + 1024 AS BIGINT) AS max_seq_len,
+  round(n_cat_a / greatest(1, n_rows)::DOUBLE, 6) AS cat_a_share, round(coalesce(covered, 0) / (SELECT sum(len(breaks)) FROM t)::DOUBLE, 6) AS coverage
+FROM (SELECT w, r, g, count(*) FILTER (WHERE kept) AS n_rows, count(*) FILTER (WHERE NOT kept) AS n_rejected, count(*) FILTER (WHERE kept AND part > 1) AS n_train, count(*) FILTER (WHERE kept AND part = 1) AS n_val, count(*) FILTER (WHERE kept AND part = 0) AS n_test,
+  count(*) FILTER (WHERE kept AND category = 'true_transition') AS n_cat_a FROM e GROUP BY w, r, g) a JOIN gr USING (w, r, g) LEFT JOIN cov USING (w, r, g)"""
+
+
+@query(_GRIDS)
 def variant_manifest(spark, sf_dir):
-    """Eight window geometries over token maps that are computed once."""
-    maps = _maps(spark, sf_dir)
-    n_gold = transcripts(spark, sf_dir).agg(F.sum(F.size("breaks"))).first()[0] or 1
-    return training.manifest(training.build_variants(maps, _SMALL_GRID, 32), n_gold, training.assign_splits(_annotated(spark, sf_dir)))
+    """All eighteen window geometries over token maps that are computed once."""
+    part = F.col("doc_id") % 10
+    t = transcripts(spark, sf_dir)
+    splits = t.select("record_id", F.when(part == 0, "test").when(part == 1, "val").otherwise("train").alias("split"))
+    n_gold = t.agg(F.sum(F.size("breaks"))).first()[0] or 1
+    out = training.manifest(training.build_variants(_maps(spark, sf_dir)), n_gold, splits)
+    return _rounded(_whole(out, "window_tokens", "stride_tokens", "edge_guard_lo", "max_seq_len"), "cat_a_share", "coverage")
 
 
-_MINE = f"""WITH RECURSIVE {BASE}, {_A25}, h AS (SELECT t.*, list_transform(ug, lambda i: breaks[i]) AS hg, list_transform(up, lambda i: run_a[i]) AS hp FROM used JOIN t USING (record_id)),
+_ERRORS = """h AS (SELECT t.*, list_transform(ug, lambda i: breaks[i]) AS hg, list_transform(up, lambda i: run_a[i]) AS hp FROM used JOIN t USING (record_id)),
 e AS (
   SELECT record_id, 'false_positive' AS kind, b AS word_offset, list_min(list_transform(breaks, lambda o: abs(b - o))) AS nearest, body FROM (SELECT *, unnest(list_filter(run_a, lambda p: NOT list_contains(hp, p))) AS b FROM h)
   UNION ALL
   SELECT record_id, 'false_negative', b, list_min(list_transform(run_a, lambda o: abs(b - o))), body FROM (SELECT *, unnest(list_filter(breaks, lambda p: NOT list_contains(hg, p))) AS b FROM h)
 )"""
+_MINE = f"WITH RECURSIVE {BASE}, {_A25}, {_ERRORS}"
 
 
 @query(f"""{_MINE} SELECT record_id, kind, word_offset, nearest, array_to_string(list_slice(ws, greatest(0, word_offset - 60) + 1, word_offset), ' ') AS text_before, array_to_string(list_slice(ws, word_offset + 1, word_offset + 60), ' ') AS text_after
@@ -647,7 +786,8 @@ def error_counts(spark, sf_dir):
     return training.mine_errors(t).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""{_CLIP}, {_A25}, {_ERRORS}
+SELECT record_id, g0 AS grid_tok_start, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.record_id = v.record_id AND e.word_offset >= w0 AND e.word_offset < w1) THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS row_weight FROM v WHERE NOT rejected""")
 def hard_weights(spark, sf_dir):
     """Training rows that hold a mined error, weighted up."""
     t = transcripts(spark, sf_dir).select("record_id", "body", "breaks", F.col("run_a").alias("pred_breaks"))
@@ -655,8 +795,11 @@ def hard_weights(spark, sf_dir):
     return _whole(rows, "grid_tok_start").select("record_id", "grid_tok_start", "row_weight")
 
 
-@query()
+@query(f"""WITH {BASE}, p AS (
+  SELECT record_id, list_filter(list_transform(string_split(regexp_replace(body, '([a-z.)\\]"])([A-Z][A-Z .''-]{{2,25}}(?:, [A-Z][A-Za-z .]+)?:)', '\\1' || chr(10) || '\\2', 'g'), chr(10)),
+    lambda x: regexp_replace(regexp_replace(x, '^[{T.WS}]+', ''), '[{T.WS}]+$', '')), lambda x: x <> '') AS parts FROM t
+) SELECT record_id, unnest(parts) AS paragraph, generate_subscripts(parts, 1) - 1 AS ordinal FROM p""")
 def speaker_paragraphs(spark, sf_dir):
     """Texts cut at line ends and speaker labels."""
     t = transcripts(spark, sf_dir)
-    return t.select("record_id", F.posexplode(T.paragraphs(F.col("body"))).alias("ordinal", "paragraph"))
+    return t.select("record_id", F.posexplode(T.paragraphs(F.col("body"))).alias("ordinal", "paragraph")).withColumn("ordinal", F.col("ordinal").cast("bigint"))

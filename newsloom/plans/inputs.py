@@ -9,7 +9,9 @@ from newsloom.functions import text as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one, of fewer partitions than there are cores, is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
 def _run(keep: int, mul: int, step: int, width: int, extra_mul: int, extra_add: int, every: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import zipfile
 from pathlib import Path
 
@@ -16,7 +17,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     home = Path(__file__).resolve().parent
-    target = Path(context._temp_dir) / "newsloom.zip"
+    target = Path(tempfile.mkdtemp(prefix="newsloom-code-")) / "newsloom.zip"
     with zipfile.ZipFile(target, "w") as out:
         for source in sorted(home.rglob("*.py")):
             out.write(source, source.relative_to(home.parent))
