@@ -35,14 +35,14 @@ def problems(spark: SparkSession, path: str) -> DataFrame:
 _KINDS = {"string": "STRING", "bigint": "BIGINT", "array<bigint>": "ARRAY<BIGINT>"}
 
 
-def read_strict(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
-    """Fields with exactly the types asked for, and error where one has another type.
+def read_strict(spark: SparkSession, path: str, fields: dict[str, str], optional: dict[str, str] | None = None) -> DataFrame:
+    """record_id, fields with exactly the types asked for, optional ones (null where they have another type or aren't there), ordinal (the order of lines) and error where a field has another type.
 
     A plain schema would turn the number 12345 into a string; here each line is
     read as a VARIANT and a field whose own type differs makes the record an
     error.  Empty arrays fit every array type.
     """
-    raw = spark.read.text(path).where("trim(value) <> ''").select(F.try_parse_json("value").alias("v"))
+    raw = spark.read.text(path).where("trim(value) <> ''").select(F.try_parse_json("value").alias("v"), F.monotonically_increasing_id().alias("ordinal"))
     out, errors = [F.try_variant_get("v", "$.record_id", "string").alias("record_id")], [F.when(F.col("v").isNull(), F.lit("invalid JSON"))]
     for name, kind in fields.items():
         found = F.try_variant_get("v", f"$.{name}", "variant")
@@ -54,7 +54,10 @@ def read_strict(spark: SparkSession, path: str, fields: dict[str, str]) -> DataF
         fits = F.coalesce(fits, F.lit(False))
         out.append(F.when(fits, F.try_variant_get("v", f"$.{name}", kind)).alias(name))
         errors.append(F.when(~fits, F.concat(F.lit(f"{name} is not {kind} but "), F.coalesce(own, F.lit("missing")))))
-    return raw.select(*out, F.coalesce(*errors).alias("error"))
+    for name, kind in (optional or {}).items():
+        found = F.try_variant_get("v", f"$.{name}", "variant")
+        out.append(F.when(F.schema_of_variant(found) == _KINDS[kind], F.try_variant_get("v", f"$.{name}", kind)).alias(name))
+    return raw.select(*out, "ordinal", F.coalesce(*errors).alias("error"))
 
 
 def union_annotations(sources: list[tuple[DataFrame, bool]], heldout_ids: DataFrame | None = None) -> DataFrame:
@@ -77,6 +80,20 @@ def write(df: DataFrame, path: str, nulls: bool = False, by: str | None = None)
     (writer.partitionBy(by) if by else writer).json(path)
 
 
-def to_array(df: DataFrame) -> str:
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """df, or an error if it has more rows than its reader on the driver is meant for."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows; write them as JSON lines")
+    return df
+
+
+def to_array(df: DataFrame, most: int = 10_000) -> str:
     """A JSON array of a few rows (a sweep, a score table)."""
-    return "[" + ",\n ".join(df.toJSON().collect()) + "]"
+    return "[" + ",\n ".join(r[0] for r in _few(df, most).select(F.to_json(F.struct("*"))).collect()) + "]"
+
+
+def write_dataset(rows: DataFrame, rejects: DataFrame, splits: DataFrame, folder: str) -> None:
+    """A training set: rows by split, rejected windows, and which record is in which split."""
+    write(rows.join(splits, "record_id"), f"{folder}/dataset", by="split")
+    write(rejects, f"{folder}/rejected_windows")
+    write(splits, f"{folder}/splits")

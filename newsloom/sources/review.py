@@ -16,8 +16,10 @@ def _marker(event) -> str:
     return f"<div class='mark {event['kind']}'>{sides}<em>{note}</em></div>"
 
 
-def render(events: DataFrame, title: str) -> str:
-    """One page for a few records (record_id, body, events), in record order; paragraphs are cut in Spark."""
+def render(events: DataFrame, title: str, most: int = 500) -> str:
+    """One page for a few records (record_id, body, events), in record order; paragraphs are cut in Spark.  An error for more than `most`."""
+    if events.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} records for one page")
     cuts = F.concat(F.array(F.lit(0).cast("bigint")), F.col("events.at"), F.array(F.size("_w").cast("bigint")))
     part = F.transform(F.sequence(F.lit(0), F.size("events")), lambda i: T.paragraphs(F.array_join(F.slice("_w", (F.get("_cuts", i) + 1).cast("int"), F.greatest(F.get("_cuts", i + 1) - F.get("_cuts", i), F.lit(0)).cast("int")), " ")))
     rows = events.withColumn("_w", T.words(F.col("body"))).withColumn("_cuts", cuts).select("record_id", "events", part.alias("parts")).orderBy("record_id").collect()
