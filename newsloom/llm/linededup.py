@@ -1,160 +1,149 @@
 """Line dedup by a suffix array over line-ID sequences (operator 5).
 
-A document is the sequence of its lines' IDs (128-bit hashes).  Suffixes of all
-sequences are sorted by prefix doubling: after the round of step h a suffix is
-ranked by its first 2h lines, from its own rank and that of the suffix h lines
-further on.  Ranks are kept by group, as in the algorithm of Larsson and
-Sadakane: a suffix's place is the line ID of its first line and an offset within
-the suffixes that start with that line, so there is no global sort.  Lines that
-occur once can't start a repeat; only repeated lines (and the line after each,
-for its ID) enter, and groups of one drop out of the rounds.  Rounds end when
-every group has one member, which is after the logarithm of the longest repeat.
-
-Suffixes that share a rank after the round to depth h are one interval of
-longest common prefix >= h.  All but the first of an interval, in the order of
-(doc_id, line), are later copies of a run of h lines.  Deleted are the lines of
-every maximal run that has an earlier copy and that has at least RUN lines, or
-is one line of at least `least` characters: LONG in `dedup_lines`, as in its SQL,
-and SHORT in `deduplicate`, which has no SQL and also takes boilerplate of a few
-words.  The first copy always stays.
-
-Plan.  Texts are exploded to line hashes, which are the only thing the rounds
-shuffle.  Each round writes its table to the shared folder.  A group is sorted
-in one task, by sorting that can spill; the largest group is that of the most
-frequent line, and it falls apart in the first round.
+A document is the sequence of its lines' IDs (128-bit hashes).  The suffixes of
+all sequences are sorted by distributed prefix doubling: from their order by the
+first h lines, a suffix's pair of ranks, its own and that of the suffix h lines
+further on (fewer in the last round), gives the order by 2h lines.  Suffixes of
+one rank are an interval of the suffix array whose longest common prefix is h
+or more.  A suffix whose interval has no other member can't be in a longer
+common prefix either, so it leaves the rounds: what is sorted in a round is the
+table of intervals of two and more, and lines that occur once never enter.
+
+The rounds end at RUN lines, as the intervals of that depth tell all that is
+deleted.  All but the first suffix of an interval, in the order of (doc_id, line),
+begin a later copy of RUN lines; the copies of a document that touch or overlap are
+one maximal run.  Deleted are the lines of these runs, and single lines of at
+least `least` characters that have an earlier copy: LONG in `dedup_lines`, as in
+its SQL, and SHORT in `deduplicate`, which has no SQL and also takes boilerplate
+of a few words.  The first copy always stays.
+
+Plan.  Texts are exploded to line IDs, which are the only thing the rounds
+shuffle.  Intervals are found by aggregation, so that the most frequent line is
+counted where it lies; ranks are handed out by a range sort of the intervals
+alone and go back to the suffixes by a join, where adaptive execution splits a
+frequent line's rows.  Each round writes its table to the shared folder; only the
+runs stay there.  Texts are cut by array expressions.
 
 Cases.  Null texts are returned as they are.  An empty text is one empty line.
 Documents whose lines are all deleted have a null text in `dedup_lines` and are
 dropped by `deduplicate`.  Rows that repeat id and text are one document and
 are edited alike; rows of one id with different texts are different documents.
-A null id sorts first.  Clashing column names don't matter: only id and text are
-looked at, the rest is carried along; an integer column n_chars is updated.
+A null id sorts first.  An empty table gives an empty one.  Clashing column names
+don't matter: only id and text are looked at, the rest is carried along; an
+integer column n_chars is updated.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import let
 from newsloom.llm.common import Tables, documents, plain
 
-#: A repeated run is deleted from this many lines on; RUN is fixed by the depth of the first round.
+#: A repeated run is deleted from this many lines on.
 RUN = 2
 #: A single repeated line is deleted from this many characters on, in dedup_lines (and its SQL) and in deduplicate.
 #: Below SHORT, about three words, clean documents share lines by chance ("Yes.", "Chapter 1", "}").
 LONG, SHORT = 40, 15
 
 
-def _key(docs: DataFrame, id_col: str, text_col: str) -> tuple:
+def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))), F.xxhash64(F.col(text_col))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG) -> DataFrame:
-    """d, t (document key), p (line, from 0), h, g (line ID), nh, ng (ID of the next line, null at the end), long."""
-    d, t = _key(docs, id_col, text_col)
-    split = docs.where(F.col(text_col).isNotNull()).select(d.alias("d"), t.alias("t"), F.split(F.col(text_col), "\n", -1).alias("x"))
-    ids = split.select("d", "t", F.transform("x", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), (F.length(x) >= least).alias("long"))).alias("x"))
-    following = F.concat(F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0))), F.array(F.lit(None).cast("struct<h:bigint,g:bigint,long:boolean>")))
-    rows = ids.select("d", "t", F.posexplode(F.arrays_zip(F.col("x").alias("a"), following.alias("b"))).alias("p", "x"))
-    return rows.select("d", "t", "p", F.col("x.a.h").alias("h"), F.col("x.a.g").alias("g"), F.col("x.b.h").alias("nh"), F.col("x.b.g").alias("ng"), F.col("x.a.long").alias("long"))
+    """d, t (document key), p (line, from 0), h, g (line ID), long."""
+    d, t = _key(id_col, text_col)
+    split = docs.where(F.col(text_col).isNotNull()).select(d.alias("d"), t.alias("t"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("p", "x"))
+    return split.select("d", "t", "p", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(1), "x").alias("g"), (F.length("x") >= least).alias("long"))
 
 
-def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG) -> tuple[Tables, DataFrame]:
-    """The suffixes that start with repeated lines: d, t, p, h, g, o (offset within the suffixes of the first line), long, depth (the largest power of two of lines that have an earlier copy; 0 if none)."""
-    tables = Tables(docs.sparkSession, "lines")
+def intervals(tables: Tables, suffixes: DataFrame, *prefix: str) -> DataFrame:
+    """The intervals of suffixes (d, t, p) by their prefix, of two places and more: prefix, first (the least place), r (rank)."""
+    place = F.struct("d", "t", "p")
+    found = suffixes.groupBy(*prefix).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    # ranks needn't be dense, only in the order of the prefixes
+    return tables.put(found.orderBy(*prefix).select(*prefix, "first", F.monotonically_increasing_id().alias("r")))
+
+
+def ranked(tables: Tables, docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", least: int = LONG) -> tuple[DataFrame, DataFrame]:
+    """Suffixes (d, t, p, r, later, long) in intervals of common prefixes of one line, and of `run` lines."""
+    later = (F.struct("d", "t", "p") > F.col("first")).alias("later")
     every = lines(docs, id_col, text_col, least)
-    first = F.min(F.struct("d", "t", "p")).alias("first")
-    repeated = every.groupBy("h", "g").agg(first, F.max(F.struct("d", "t", "p")).alias("last")).where("first <> last").drop("last")
-    here = F.struct("d", "t", "p")
-    start = tables.put(every.join(repeated, ["h", "g"]).distinct().select("d", "t", "p", "h", "g", "nh", "ng", F.lit(0).cast("bigint").alias("o"), "long", F.when(here > F.col("first"), 1).otherwise(0).alias("depth"), F.lit(True).alias("open")))
-    # the line after a repeated one may be unique; its ID still orders suffixes
-    after = start.where("nh is not null").select("d", "t", (F.col("p") + 1).alias("p"), F.col("nh").alias("h"), F.col("ng").alias("g"), F.lit(0).cast("bigint").alias("o"), F.lit(None).cast("boolean").alias("long"), F.lit(0).alias("depth"), F.lit(False).alias("open"))
-    columns = ["d", "t", "p", "h", "g", "o", "long", "depth", "open"]
-    table = tables.put(start.select(columns).union(after.join(start, ["d", "t", "p"], "left_anti").select(columns)))
-    tables.drop(start)
-    step = 1
-    while True:
-        ahead = table.select("d", "t", (F.col("p") - step).alias("p"), F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("o").alias("o2"))
-        paired = table.where("open").join(ahead, ["d", "t", "p"], "left").withColumn("end", F.when(F.col("h2").isNull(), here))
-        group = Window.partitionBy("h", "g", "o")
-        ranked = paired.withColumn("r", F.rank().over(group.orderBy("h2", "g2", "o2", "end")))
-        same = Window.partitionBy("h", "g", "o", "h2", "g2", "o2", "end")
-        ranked = ranked.withColumn("first", F.min(here).over(same)).withColumn("n", F.count(F.lit(1)).over(same))
-        fresh = ranked.select("d", "t", "p", "h", "g", (F.col("o") + F.col("r") - 1).alias("o"), "long", F.when(here > F.col("first"), 2 * step).otherwise(F.col("depth")).alias("depth"), (F.col("n") > 1).alias("open"))
-        grown = tables.put(table.where("not open").unionByName(fresh))
-        tables.drop(table)
-        table, step = grown, 2 * step
-        if not table.where("open").limit(1).count():
-            return tables, table.where("long is not null")
-
-
-def deleted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG) -> DataFrame:
-    """d, t and the sorted array of lines to delete."""
-    _, order = suffixes(docs, id_col, text_col, least)
-    gone = order.where("depth >= 2 or depth = 1 and long").select("d", "t", F.explode(F.when(F.col("depth") >= RUN, F.array("p", F.col("p") + 1)).otherwise(F.array("p"))).alias("p"))
-    return gone.groupBy("d", "t").agg(F.array_sort(F.collect_set("p")).alias("gone"))
-
-
-def _without(text: str, gone: list[int]) -> tuple[str | None, int]:
-    parts = text.split("\n")
-    drop = set(gone)
-    kept = [x for i, x in enumerate(parts) if i not in drop]
-    return ("\n".join(kept) if kept else None), len(parts)
-
-
-def _joined(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    d, t = _key(docs, id_col, text_col)
-    gone = deleted(docs, id_col, text_col, least).select(F.col("d").alias("_line_d"), F.col("t").alias("_line_t"), F.col("gone").alias("_line_gone"))
-    return docs.join(gone, (d == F.col("_line_d")) & (t == F.col("_line_t")), "left")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG) -> DataFrame:
-    """doc_id, n_lines, n_removed, text (null if nothing is left) of the rows with a text."""
-    docs, (id_col, text_col) = plain(docs, id_col, text_col)
-    joined = _joined(docs, id_col, text_col, least).where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col("_line_gone").alias("gone"))
+    order = intervals(tables, every, "h", "g")
+    table = single = tables.put(every.join(order, ["h", "g"]).select("d", "t", "p", "r", later, "long").distinct())
+    tables.drop(order)
+    depth = 1
+    while depth < run:
+        step = min(depth, run - depth)
+        ahead = table.select("d", "t", (F.col("p") - step).alias("p"), F.col("r").alias("r2"))
+        paired = tables.put(table.select("d", "t", "p", F.col("r").alias("r1"), "long").join(ahead, ["d", "t", "p"]))
+        order = intervals(tables, paired, "r1", "r2")
+        longer = tables.put(paired.join(order, ["r1", "r2"]).select("d", "t", "p", "r", later, "long"))
+        tables.drop(paired, order, *([] if table is single else [table]))
+        table, depth = longer, depth + step
+    return single, table
+
+
+def later_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", least: int = LONG) -> DataFrame:
+    """d, t and the maximal runs of lines that are later copies: an array of disjoint (start, stop), in order."""
+    tables = Tables(docs.sparkSession, "lines")
+    single, table = ranked(tables, docs, run, id_col, text_col, least)
+    copies = table.where("later").select("d", "t", "p", (F.col("p") + run).alias("stop"))
+    copies = copies.union(single.where("later and long").select("d", "t", "p", (F.col("p") + 1).alias("stop")))
+    own = Window.partitionBy("d", "t").orderBy("p")
+    # a run begins where no copy before reaches; a document's copies are no more than its lines
+    reach = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    begun = copies.withColumn("fresh", F.when(F.col("p") <= reach, 0).otherwise(1)).withColumn("k", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = begun.groupBy("d", "t", "k").agg(F.min("p").alias("start"), F.max("stop").alias("stop"))
+    out = tables.put(runs.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs")))
+    tables.drop(single, *([] if table is single else [table]))
+    return out
 
-    def stage(batches):
-        for batch in batches:
-            texts, n, removed = [], [], []
-            for text, gone in zip(batch.column(1), batch.column(2), strict=True):
-                found = gone.as_py() or []
-                t, count = _without(text.as_py(), found)
-                texts.append(t), n.append(count), removed.append(len(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
 
-    return joined.mapInArrow(stage, "doc_id bigint, n_lines bigint, n_removed bigint, text string")
+def _kept(text: Column, runs: Column) -> Column:
+    """The lines of a text outside its runs."""
 
+    def cut(own: Column) -> Column:
+        n = F.array(F.size(own))
+        edges = F.arrays_zip(F.concat(F.array(F.lit(0)), runs["stop"]).alias("a"), F.concat(runs["start"], n).alias("b"))
+        return F.flatten(F.transform(edges, lambda e: F.slice(own, e["a"] + 1, e["b"] - e["a"])))
+
+    return let(F.split(text, "\n", -1), cut)
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SHORT) -> DataFrame:
-    """The rows of docs with the text that is left; rows of which nothing is left go."""
-    at = docs.columns.index(text_col)
-    names = docs.columns
-    sizes = [i for i, f in enumerate(docs.schema) if f.name == "n_chars" and f.dataType.typeName() in ("integer", "long")]
-
-    def stage(batches):
-        for batch in batches:
-            columns = list(batch.columns)
-            gone = columns.pop()
-            schema = pa.schema([batch.schema.field(i) for i in range(len(columns))])
-            if gone.null_count < len(gone):
-                texts, keep = columns[at].to_pylist(), [True] * len(gone)
-                counts = {i: columns[i].to_pylist() for i in sizes}
-                for k, found in enumerate(gone):
-                    if found.is_valid:
-                        texts[k], _ = _without(texts[k], found.as_py())
-                        keep[k] = texts[k] is not None
-                        for i in sizes:
-                            counts[i][k] = len(texts[k] or "")
-                columns[at] = pa.array(texts, columns[at].type)
-                for i in sizes:
-                    columns[i] = pa.array(counts[i], columns[i].type)
-                yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(keep))
-            else:
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
+def _joined(docs: DataFrame, run: int, id_col: str, text_col: str, least: int) -> DataFrame:
+    """docs with _runs (null for most) and _text, what is left of the text (null if nothing is)."""
+    d, t = _key(id_col, text_col)
+    runs = later_runs(docs, run, id_col, text_col, least).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("runs").alias("_runs"))
+    left = let(_kept(F.col(text_col), F.col("_runs")), lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")))
+    # texts are always shuffled to their runs, at every size alike
+    return docs.join(runs.hint("merge"), (d == F.col("_d")) & (t == F.col("_t")), "left").withColumn("_text", F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(left))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LONG, run: int = RUN) -> DataFrame:
+    """doc_id, n_lines, n_removed, text (null if nothing is left) of the rows with a text."""
+    docs, (id_col, text_col) = plain(docs, id_col, text_col)
+    removed = F.aggregate("_runs", F.lit(0).cast("bigint"), lambda s, r: s + r["stop"] - r["start"])
+    rows = _joined(docs, run, id_col, text_col, least).where(F.col(text_col).isNotNull())
+    return rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.size(F.split(F.col(text_col), "\n", -1)).cast("bigint").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"), F.col("_text").alias("text"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SHORT, run: int = RUN) -> DataFrame:
+    """The rows of docs with the text that is left; rows of which nothing is left go."""
+    fields = docs.schema.fields
     docs, (id_col, text_col) = plain(docs, id_col, text_col)
-    return _joined(docs, id_col, text_col, least).select(*docs.columns, "_line_gone").mapInArrow(stage, docs.schema).toDF(*names)
+    rows = _joined(docs, run, id_col, text_col, least).where("_runs is null or _text is not null")
+    out = []
+    for own, field in zip(docs.columns, fields, strict=True):
+        value = F.col(own)
+        if own == text_col:
+            value = F.col("_text")
+        elif field.name == "n_chars" and field.dataType.typeName() in ("integer", "long"):
+            value = F.when(F.col("_runs").isNull(), value).otherwise(F.length("_text").cast(field.dataType))
+        out.append(value.alias(own))
+    return rows.select(*out).toDF(*[f.name for f in fields])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
