@@ -21,7 +21,7 @@ Identification is one narrow pass; the filter has a fixed size.
 Cases.  A null, empty or letterless text is rejected: null language, share 0.
 Ties between languages are rejected (no lead).  Rows with null labels or ids
 aren't fitted on, but are identified.  Repeated rows are identified each.
-Without any labelled row everything is rejected.
+Without any labelled row everything is rejected; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import vectext as V
 from newsloom.llm.common import documents, id_text
+from newsloom.session import ship
 
 GRAM, SLOTS, HASHES = 5, 1 << 20, 2
 #: Bound on the labelled rows that are fitted on, by language (in expectation).
@@ -118,6 +119,7 @@ def least_docs(n: int) -> int:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Filter:
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("doc_id is not null and lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in docs.select(F.col(lang_col).cast("string").alias("lang")).where("lang is not null").groupBy("lang").count().collect()}
     languages = sorted(sizes)
@@ -157,6 +159,7 @@ def identify(docs: DataFrame, model: Filter | None = None, id_col: str = "doc_id
 
 def keep_identified(docs: DataFrame, model: Filter | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose language was told, all columns as they are; one narrow pass."""
+    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col, text_col))
 

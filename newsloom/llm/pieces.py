@@ -19,8 +19,8 @@ broadcast.  Decoding joins the pieces, bytes first, drops the added space and
 gives the text again, but for U+2581, which the model writes for a space.
 
 Cases.  A null text has null results; an empty one no tokens.  Repeated rows
-are encoded each; rows with a null id stay.  Columns that are not asked for are
-not looked at.
+are encoded each; rows with a null id stay.  An empty table gives an empty one.  Columns that are not asked for are
+not looked at; of those that are, one named like a result is left out.  Decoding null ids gives a null text, and no ids an empty one.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import documents
+from newsloom.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -175,6 +176,8 @@ _made: dict[tuple, Codec] = {}
 
 def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns to keep, token_ids, n_tokens, and round_trip: whether decoding gave the text again."""
+    ship(docs.sparkSession)
+    keep = tuple(c for c in keep if c not in ("doc_id", "token_ids", "n_tokens", "round_trip"))
     prepared = prepare(read_model(path))
     shared = docs.sparkSession.sparkContext.broadcast(prepared)
     key = (path, len(prepared["ids"]))
@@ -207,6 +210,7 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id and the text that token_ids stand for; null ids give a null text."""
+    ship(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(prepare(read_model(path)))
 
     def stage(batches):
