@@ -8,9 +8,10 @@ from pathlib import Path
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-from helpers import docs, odd, words  # noqa: E402
+from helpers import LONG, components, differing_bits, docs, drawn, edited, identified, odd, rule_statistics, words  # noqa: E402
 
 from newsloom.llm import langid, licenses, linededup, mixing, pieces, quality, registry, simhash, substrings, tokencount, topk  # noqa: E402
 
@@ -25,27 +26,9 @@ def test_agrees_with_sql(name, agrees):
     agrees(name)
 
 
-def components(n, edges):
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    return [find(x) for x in range(n)]
-
-
 # --- 1
 
 
-def differing_bits(f):
-    return sum(np.bitwise_count(f[:, None, k] ^ f[None, :, k]).astype(int) for k in range(2))
-
-
 def test_simhash_recall_and_groups(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     prints = simhash.fingerprints(table).orderBy("doc_id").collect()
@@ -57,7 +40,7 @@ def test_simhash_recall_and_groups(spark):
     ids = [r.doc_id for r in prints]
     got = {r.doc_id: r for r in simhash.groups(table).collect()}
     together = [a in got and b in got and got[a].group_id == got[b].group_id for a, b in ((ids[a], ids[b]) for a, b in edges)]
-    assert np.mean(together) >= 0.98
+    assert np.mean(together) >= 0.99
     # no false groups: members of one group are in one true component
     at = {d: label[i] for i, d in enumerate(ids)}
     true = defaultdict(set)
@@ -68,7 +51,7 @@ def test_simhash_recall_and_groups(spark):
     distinct, first = np.unique(f, axis=0, return_index=True)
     degree = (differing_bits(distinct) <= simhash.MOST_BITS).sum(1) - 1
     pairs = [(got[ids[i]].n_links, k) for i, k in zip(first, degree, strict=True) if ids[i] in got]
-    assert all(a <= b for a, b in pairs) and sum(a for a, _ in pairs) >= 0.98 * degree.sum()
+    assert all(a <= b for a, b in pairs) and sum(a for a, _ in pairs) >= 0.99 * degree.sum()
     # cells that are split into blocks give the same
     assert sorted(simhash.groups(table, most=40).collect()) == sorted(got.values())
 
@@ -88,7 +71,7 @@ def test_simhash_recall_by_distance(n):
         met = np.zeros(len(a), bool)
         for g, outer in enumerate(first):
             met |= simhash._agree(x, y, outer) & np.any([simhash._agree(x, y, inner) for inner in second[g]], axis=0)
-        assert met.mean() >= 0.965, (away, met.mean())
+        assert met.mean() >= 0.985, (away, met.mean())
 
 
 def test_simhash_counts_a_link_in_one_cell():
@@ -105,7 +88,7 @@ def test_simhash_counts_a_link_in_one_cell():
         for at in cells.values():
             degree[at] += simhash.links(f[at], g, first, second, 22)[1]
     true = (differing_bits(f) <= 22).sum(1) - 1
-    assert np.all(degree <= true) and degree.sum() >= 0.98 * true.sum()
+    assert np.all(degree <= true) and degree.sum() >= 0.99 * true.sum()
 
 
 def test_simhash_manhattan_is_a_lower_bound():
@@ -241,46 +224,60 @@ def test_topk_brute_force(spark):
         want = sorted(((-score[i, j], j) for j in range(60) if j != i))[:4]
         assert [(j, -s + 0.0) for s, j in want] == [(j, s + 0.0) for j, s in got[i]]
     assert set(got) == set(range(60))
+    some = topk.top_k(table, k=4, tile=9, queries=F.pmod("vec_id", F.lit(7)) == 0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.neighbor_id, r.score) for r in some] == [(i, j, s) for i in range(0, 60, 7) for j, s in got[i]]
+
+
+def test_topk_of_odd_and_empty_tables(spark):
+    schema = "vec_id bigint, embedding array<float>, tile int, width int, s string, ids string"
+    rows = [(1, [1.0, 0.0], 1, 1, "x", "x"), (1, [0.0, 1.0], 1, 1, "x", "x"), (2, [1.0, 1.0], 1, 1, "x", "x"), (2, [1.0, 1.0], 2, 2, "y", "y"), (3, [1.0], 1, 1, None, None), (None, [1.0, 1.0], 1, 1, "x", "x"), (4, [1.0, None], 1, 1, "x", "x")]
+    table = spark.createDataFrame(rows, schema)
+    got = sorted((r.query_id, r["rank"], r.neighbor_id, r.score) for r in topk.top_k(table).collect())
+    # an id with two vectors asks with each and isn't its own neighbour; vectors of another length have none
+    half = 0.707106781
+    assert got == [(1, 1, 2, half), (1, 1, 2, half), (2, 1, 1, half), (2, 2, 1, half)]
+    assert topk.top_k(table.where("false")).collect() == [] and topk.top_k(table, queries=F.lit(False)).collect() == []
 
 
 # --- 5
 
 
-def edited(rows):
-    """Texts by brute force: every line is compared with all before it."""
-    places = [(i, k, x) for i, t in sorted(rows) for k, x in enumerate(t.split("\n"))]
-    following = {(i, k): x for i, k, x in places}
-    one, two, gone = set(), set(), set()
-    for i, k, x in places:
-        if x in one and len(x) >= linededup.LONG:
-            gone.add((i, k))
-        one.add(x)
-        if (i, k + 1) in following:
-            pair = (x, following[i, k + 1])
-            if pair in two:
-                gone |= {(i, k), (i, k + 1)}
-            two.add(pair)
-    out = {}
-    for i, t in rows:
-        left = [x for k, x in enumerate(t.split("\n")) if (i, k) not in gone]
-        out[i] = "\n".join(left) if left else None
-    return out
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup_brute_force(spark, seed):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("run", [1, 2, 3, 5])
+def test_line_dedup_brute_force(spark, run):
+    rng = random.Random(run)
     kinds = [*"abcdef", "", "l" * 40, "m" * 60]
-    rows = [(i, "\n".join(rng.choice(kinds) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    rows = [(i, "\n".join(rng.choice(kinds[: 3 + i % 7]) for _ in range(rng.randrange(1, 12)))) for i in range(60)]
     rows += [(100, "\n".join(["same"] * 70)), (101, "\n".join(["same"] * 70))]
     table = docs(spark, [(i, t, "en", "a") for i, t in rows], extra=True)
-    want = edited(rows)
-    assert {r.doc_id: r.text for r in linededup.dedup_lines(table).collect()} == want
-    kept = linededup.deduplicate(table)
+    want = {i: t for (i, _), t in edited(rows, run).items()}
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(table, run=run).collect()} == want
+    kept = linededup.deduplicate(table, least=linededup.LONG, run=run)
     assert kept.columns == table.columns
     assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {i: (t, len(t)) for i, t in want.items() if t is not None}
 
 
+def test_line_dedup_of_null_ids_repeated_rows_and_two_texts_of_an_id(spark):
+    rows = [(None, "a\nb\nc"), (3, "a\nb\nd"), (3, "a\nb\nd"), (3, "a\nb\ne"), (4, "x\na\nb"), (5, None), (6, "")]
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_removed, str(r.text)) for r in linededup.dedup_lines(docs(spark, [(i, t, "en", "a") for i, t in rows])).collect())
+    # the null id has the first copy, a row and its repeat lose the same
+    assert got == [(0, 3, 0, "a\nb\nc"), (3, 3, 2, "d"), (3, 3, 2, "d"), (3, 3, 2, "e"), (4, 3, 2, "x"), (6, 1, 0, "")]
+
+
+def test_line_dedup_ranks_are_in_the_order_of_the_suffixes(spark):
+    from newsloom.llm.common import Tables
+
+    rng = random.Random(9)
+    table = docs(spark, [(i, "\n".join(rng.choice("abc") for _ in range(9)), "en", "a") for i in range(40)])
+    own = {(r.d, r.p): r.h for r in linededup.lines(table).collect()}
+    for run in (1, 3, 4):
+        found = {(r.d, r.p): r.r for r in linededup.ranked(Tables(spark, "test"), table, run)[1].collect()}
+        prefix = {at: tuple(own[at[0], at[1] + k] for k in range(run)) for at in found}
+        counts = Counter(tuple(own.get((d, p + k)) for k in range(run)) for d, p in own)
+        assert set(found) == {(d, p) for d, p in own if p + run <= 9 and counts[tuple(own[d, p + k] for k in range(run))] > 1}
+        places = sorted(found, key=lambda at: prefix[at])
+        assert all((found[a] < found[b]) == (prefix[a] < prefix[b]) and found[a] <= found[b] for a, b in zip(places, places[1:]))
+
+
 def test_line_dedup_deletes_single_short_lines(spark):
     notice, edge, under = "Released under the MIT License.", "e" * linededup.SHORT, "u" * (linededup.SHORT - 1)
     rows = [(i, "\n".join([f"first of {i} alone", x, f"last of {i} alone"]), "en", "a") for i, x in enumerate([notice, edge, under] * 3)]
@@ -303,6 +300,29 @@ def test_language_held_out(spark):
     assert {r.language for r in langid.identify(junk, model).collect()} == {None} and langid.keep_identified(junk, model).count() == 0
 
 
+def test_language_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shares = identified(spark, table)
+    told = {r.doc_id: r for r in langid.identify(table).collect()}
+    assert set(shares) == set(told)
+    sure = 0
+    for i, own in shares.items():
+        best, second, *_ = sorted(own.values(), reverse=True)
+        assert abs(told[i].share - best) < 0.05
+        # the filter's false positives may tip what is this near to a threshold
+        if abs(best - langid.MIN_SHARE) > 0.05 and abs(best - second - langid.MIN_LEAD) > 0.05:
+            name = max(own, key=own.get) if best >= langid.MIN_SHARE and best - second >= langid.MIN_LEAD else None
+            assert told[i].language == name
+            sure += 1
+    assert sure >= 0.95 * len(shares)
+
+
+def test_language_ties_are_rejected(spark):
+    text = "common words that both of the languages have in common "
+    rows = [(i, text * 5, "ab"[i % 2], "s") for i in range(6)] + [(9, "only this one is unlike the others here " * 5, "c", "s")]
+    assert {r.doc_id: r.language for r in langid.identify(docs(spark, rows)).collect()} == {i: None for i in range(6)} | {9: "c"}
+
+
 def test_language_filter_returns_all_languages_of_a_gram():
     sets = [np.array([1, 2, 3]), np.array([3, 4])]
     model = langid.Filter(["a", "b"], sets)
@@ -361,6 +381,33 @@ def test_substrings_brute_force(spark, seed):
     assert {i: sorted(x) for i, x in got.items()} == spans_by_force(rows)
 
 
+@pytest.mark.parametrize("kinds", [2, 4, 50, 10**6])
+def test_every_repeated_passage_is_a_candidate(kinds):
+    # passages of exactly WORDS words, each in two texts with other words around it
+    rng = np.random.default_rng(kinds)
+    n, w, m = 500, substrings.WORDS, 20
+    for _ in range(50):
+        passage = rng.integers(0, kinds, (n, w))
+        texts = np.concatenate([np.hstack([rng.integers(0, kinds, (n, m)), passage, rng.integers(0, kinds, (n, m))]) for _ in range(2)])
+        if not _ % 3:
+            texts[: n // 2, :m], texts[n:, m + w :] = passage[: n // 2, :1], passage[:, -1:]
+        size = w + 2 * m
+        last = np.arange(texts.size) % size == size - 1
+        name, place, low, high, at, stands = substrings.anchors(substrings.V.mix(texts.ravel().astype(np.uint64)), last)
+        _, back, count = np.unique(name, return_inverse=True, return_counts=True)
+        found = substrings.candidates(place, low, high, at, stands, count[back] > 1, texts.size)
+        assert np.isin(np.arange(2 * n) * size + m, found).all()
+
+
+def test_substrings_of_one_id_with_two_texts_and_of_repeated_rows(spark):
+    rng = random.Random(8)
+    passage, tail = words(rng, 50), words(rng, 30)
+    spans = lambda rows: sorted((r.doc_id, r.start_word, r.end_word, r.n_later) for r in substrings.repeats(docs(spark, [(i, t, "en", "a") for i, t in rows])).collect())
+    # a row and its repeat are one document, and so is the same passage at the same word of two texts of an id
+    assert spans([(1, passage), (1, passage), (2, passage + " " + tail), (2, passage + " other"), (None, passage)]) == [(1, 0, 50, 0), (2, 0, 50, 50)]
+    assert spans([(1, passage), (1, passage)]) == [] and spans([(1, passage + " x"), (1, "x " + passage)]) == [(1, 0, 51, 50)]
+
+
 # --- 9
 
 
@@ -371,7 +418,41 @@ def test_quality_held_out(spark):
     held = [(got[r.doc_id], r.quality) for r in labels.where("doc_id % 2 = 1").collect() if r.doc_id in got]
     good = [g.keep for g, q in held if q == 1]
     bad = [g.keep for g, q in held if q == 0]
-    assert np.mean(good) >= 0.95 and np.mean(bad) < np.mean(good)
+    assert np.mean(good) >= 0.95 and np.mean(bad) <= 0.1
+
+
+def test_quality_brute_force(spark, small):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    forest, most = quality.fit(known, labels)
+    rows = [(r.doc_id, r.text) for r in small.collect()] + [(-1, None), (-2, ""), (-3, " \n"), (-4, "x"), (-5, "| A a a\x0bA é東 |"), (-6, LONG[:3000])]
+
+    def path(tree, own):
+        feature, value, left = tree
+        node = 0
+        while feature[node] >= 0:
+            node = left[node] + (own[feature[node]] >= value[node])
+        return value[node]
+
+    want = {}
+    for i, text in rows:
+        own = rule_statistics(text)
+        score = None if own is None else 2 ** (-sum(path(t, own) for t in forest.trees) / len(forest.trees) / quality.mean_path(forest.sample))
+        want[i] = (None if score is None else round(score, 9), score is not None and score <= most)
+    shared = quality.fit
+    quality.fit = lambda *_, **__: (forest, most)
+    try:
+        got = {r.doc_id: (None if r.score is None else round(r.score, 9), r.keep) for r in quality.score(docs(spark, [(i, t, "en", "a") for i, t in rows], extra=True), labels).collect()}
+    finally:
+        quality.fit = shared
+    assert got == want
+
+
+def test_quality_contradicting_labels_count_as_bad_and_none_keep_all(spark):
+    table = docs(spark, [(i, "some plain words here", "en", "a") for i in range(4)])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id bigint, quality int")
+    assert list(quality.labelled(table, labels)[1]) == [0]
+    assert all(r.keep for r in quality.score(table, labels.where("false")).collect())
 
 
 def test_isolation_forest_finds_an_outlier():
@@ -396,24 +477,39 @@ def test_mixing_brute_force(spark):
     assert Counter(r.source for r in got) == {s: 5 * n for s, n in quota.items()} and len({r.doc_id for r in got}) == len(got)
     assert max(abs(quota[s] - total * w) for s, w in weights.items()) < 1
     assert any(quota[s] + 1 > have[s] // 5 for s in quota)
-    # which document goes where: the hash order of each source, cut at the tree's counts
     keys = {r.doc_id: r.h for r in table.selectExpr("doc_id", f"xxhash64({mixing.SEED}, doc_id) h").collect()}
-    names = sorted(quota)
-    shards = max(1, round(total * 5 / 100))
-    parts = mixing.split(np.array([quota[s] for s in names]), shards)
-    assert parts.sum(0).tolist() == [quota[s] for s in names] and np.ptp(parts.sum(1)) <= 1
-    want = {}
-    for k, s in enumerate(names):
-        order = sorted((r[0] for r in rows if r[3] == s), key=lambda i: (keys[i], i))
-        for shard, end in enumerate(np.cumsum(parts[:, k]) * 5):
-            for i in order[end - parts[shard, k] * 5 : end]:
-                want[i] = shard
+    parts = mixing.split(np.array([quota[s] for s in sorted(quota)]), max(1, round(total * 5 / 100)))
+    assert parts.sum(0).tolist() == [quota[s] for s in sorted(quota)] and np.ptp(parts.sum(1)) <= 1
+    want = drawn([(r[0], r[3]) for r in rows], keys, {s: 5 * n for s, n in quota.items()}, 5, 100)
     assert {r.doc_id: r.mix_shard for r in got} == want
     sizes = Counter(r.mix_shard for r in got)
     assert sorted((r.mix_shard, r.mix_position) for r in got) == sorted((s, p) for s, n in sizes.items() for p in range(n))
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(table.repartition(7), weights, block=5, shard=100).collect()))
 
 
+def test_mixing_tree_falls_apart_the_same_way_anywhere(spark, monkeypatch):
+    table = docs(spark, [(i, f"t{i}", "en", "ab"[i % 3 > 1]) for i in range(1500)])
+    whole = sorted((r.doc_id, r.mix_shard, r.mix_position) for r in mixing.mix(table, shard=20).collect())
+    monkeypatch.setattr(mixing, "LEAF", 4)
+    monkeypatch.setattr(mixing, "BUCKET", 1)
+    assert whole == sorted((r.doc_id, r.mix_shard, r.mix_position) for r in mixing.mix(table, shard=20).collect())
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert whole == sorted((r.doc_id, r.mix_shard, r.mix_position) for r in mixing.mix(table, shard=20).collect())
+
+
+def test_mixing_of_odd_weights_and_sources(spark):
+    names = ["a"] * 20 + ["b"] * 20 + [None] * 8 + ["null"] * 8 + ["=a"] * 4
+    rows = [(i, f"t{i}", "en", s) for i, s in enumerate(names)]
+    table = docs(spark, [*rows, *rows[:12], (None, "no id", "en", "a")])
+    count = lambda **kw: Counter(r.source for r in mixing.mix(table, **kw).collect())
+    # weight 0 or none leaves a source out, null is a source and no string; rows that repeat a key travel together
+    got = mixing.mix(table, {"a": 0.5, "b": 0, None: 0.5}, target=16).collect()
+    assert Counter({(r.doc_id, r.source) for r in got}).total() == 16 and Counter(s for _, s in {(r.doc_id, r.source) for r in got}) == {"a": 8, None: 8}
+    assert all(sum(r.doc_id == i for r in got) == 2 for i in {r.doc_id for r in got} if i < 12)
+    assert set(count(weights={None: 1.0, "null": 1.0})) == {None, "null"}
+    assert count(weights={"nowhere": 1.0}) == {} and count(weights={"a": 0.0}) == {}
+
+
 def test_mixing_scarce_sources_bound_nothing(spark):
     small = {"one": 1, "three": 3, "four": 4, None: 40}
     names = ["hot"] * 2000 + ["warm"] * 500 + [s for s, n in small.items() for _ in range(n)]
@@ -461,6 +557,27 @@ def test_odd_and_empty_tables(spark, name):
     assert OPERATORS[name](table.where("false")).collect() == []
 
 
+def test_odd_rows_of_edits_and_groups(spark):
+    table = odd(spark)
+    texts = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=str)
+    own = texts(table.collect())
+    # nothing repeats but rows, which are one document
+    assert texts(linededup.deduplicate(table).collect()) == own
+    assert simhash.groups(table).collect() == [] and texts(simhash.deduplicate(table).collect()) == own
+    assert licenses.scan(table).collect() == []
+    # the long text repeats itself: one span from its first word to its last
+    n = len(LONG.split())
+    assert [(r.doc_id, r.start_word, r.end_word, r.n_later) for r in substrings.repeats(table).collect()] == [(4, 0, n, n - 7)]
+    # rows without an id can't be drawn; every source has its share
+    mixed = mixing.mix(table).collect()
+    assert texts(mixed) == [x for x in own if x[0] is not None]
+    assert texts(langid.keep_identified(table).collect()) == texts(table.where("doc_id = 4").collect())
+    back = pieces.decode(pieces.encode(table, keep=("n_chars", "token_ids", "d"))).collect()
+    assert texts(back) == own
+    assert pieces.encode(table, keep=("n_chars", "token_ids")).columns == ["doc_id", "n_chars", "token_ids", "n_tokens", "round_trip"]
+    assert pieces.decode(pieces.encode(table.where("false"))).collect() == []
+
+
 def test_null_texts(spark):
     table = odd(spark)
     assert [r.n_tokens for r in tokencount.token_counts(table.where("text is null")).collect()] == [None, None]
