@@ -3,7 +3,15 @@
 Language ID, line dedup, SimHash near-dedup, mixing sources to target weights
 and SentencePiece encoding, in this order.  Each stage takes (spark, docs,
 sf_dir) and works on all rows that the one before it kept.  All but the last
-return the columns of documents.
+return the columns of documents, whatever else these hold and however they are named.
+
+Cases.  Null, empty, blank and letterless texts have no language, so the first
+stage drops them; of the later ones line dedup, near-dedup and encoding would
+keep them (with null tokens for a null text).  Rows with a null id or source go
+through all stages but the fourth, which can't draw a row without an id.  Long
+texts are whole texts everywhere.  Rows that repeat id and text are one document
+and stay together.  Ties: of copies the one of the least doc_id stays.  An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import langid, linededup, mixing, pieces, simhash
-from newsloom.llm.common import Tables
+from newsloom.llm.common import Tables, drop_since
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token_ids and whether decoding gives the text again."""
+    """doc_id, lang, source, token_ids, n_tokens and round_trip: whether decoding gives the text again."""
     return pieces.encode(docs, keep=("lang", "source"))
 
 
@@ -52,11 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written as Parquet and read again."""
-    tables = Tables(spark, "pipeline")
+    """All stages over documents, each one's result written as Parquet and read again; a result goes when the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = tables.put(docs)
-    return docs
+    tables, before = Tables(spark, "pipeline"), []
+    made = len(Tables.roots)
+    for _, stage in STAGES[:-1]:
+        docs = tables.put(stage(spark, docs, sf_dir))
+        tables.drop(*before)
+        drop_since(spark, made)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
