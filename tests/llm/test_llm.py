@@ -58,20 +58,14 @@ def test_simhash_recall_and_groups(spark):
 
 @pytest.mark.parametrize("n", [10**3, 10**5, 10**7])
 def test_simhash_recall_by_distance(n):
-    # random pairs that differ in exactly so many bits, under the grids of a table of n fingerprints
+    # random pairs that differ in exactly so many bits, under the bands of a table of n fingerprints: all are met
     rng = np.random.default_rng(n)
-    first, second = simhash.grid_masks(n)
+    cut = simhash.cut(simhash.MOST_BITS, min(n, simhash.MOST), min(n, simhash.MOST))
     for away in (17, 20, simhash.MOST_BITS):
-        a = rng.integers(0, 2, (2000, 128), np.uint8)
-        flips = np.zeros_like(a)
-        np.put_along_axis(flips, rng.random(a.shape).argsort(1)[:, :away], 1, 1)
-        word = lambda bits: np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-        c, d = simhash.unary(word(a)), simhash.unary(word(a ^ flips))
-        x, y = (c ^ d).T
-        met = np.zeros(len(a), bool)
-        for g, outer in enumerate(first):
-            met |= simhash._agree(x, y, outer) & np.any([simhash._agree(x, y, inner) for inner in second[g]], axis=0)
-        assert met.mean() >= 0.985, (away, met.mean())
+        flips = np.zeros((20000, 128), np.uint8)
+        np.put_along_axis(flips, rng.random(flips.shape).argsort(1)[:, :away], 1, 1)
+        x = np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+        assert np.all(np.any([simhash._within(x, band) for band in cut], axis=0)), away
 
 
 def test_simhash_counts_a_link_in_one_cell():
@@ -79,16 +73,43 @@ def test_simhash_counts_a_link_in_one_cell():
     base = rng.integers(0, 2, (1, 128), np.uint8)
     bits = base ^ (rng.random((60, 128)) < 0.06)
     f = np.unique(np.packbits(bits, axis=1, bitorder="little").view(np.uint64), axis=0)
-    first, second = simhash.grid_masks(1000)
-    c, degree = simhash.unary(f), np.zeros(len(f), int)
-    for g, (m0, m1) in enumerate(first):
-        cells = defaultdict(list)
-        for i in range(len(f)):
-            cells[c[i, 0] & m0, c[i, 1] & m1].append(i)
-        for at in cells.values():
-            degree[at] += simhash.links(f[at], g, first, second, 22)[1]
-    true = (differing_bits(f) <= 22).sum(1) - 1
-    assert np.all(degree <= true) and degree.sum() >= 0.99 * true.sum()
+    blocks = rng.integers(0, 3, len(f))
+    for number in simhash.CUTS:
+        degree = np.zeros(len(f), int)
+        for i in range(3):
+            for j in range(i + 1):
+                at = np.flatnonzero((blocks == i) | (blocks == j))
+                degree[at] += simhash.links(f[at], 22, None if i == j else blocks[at] == i, simhash.bands(22, number))[1]
+        assert np.array_equal(degree, (differing_bits(f) <= 22).sum(1) - 1)
+
+
+@pytest.mark.parametrize("most_bits", [0, 3, 9, 22, 40])
+def test_simhash_loses_no_link_at_any_distance(most_bits):
+    # of 300 fingerprints one near copy each, at exactly the distance; half of them share a band's value
+    rng = np.random.default_rng(most_bits)
+    a = rng.integers(0, 2, (300, 128), np.uint8)
+    a[:150, :16] = 1
+    flips = np.zeros_like(a)
+    np.put_along_axis(flips, rng.random(a.shape).argsort(1)[:, :most_bits], 1, 1)
+    f = np.unique(np.packbits(np.vstack([a, a ^ flips]), axis=1, bitorder="little").view(np.uint64), axis=0)
+    near = differing_bits(f) <= most_bits
+    label, degree = simhash.links(f, most_bits)
+    assert np.array_equal(degree, near.sum(1) - 1) and label.tolist() == components(len(f), [(int(x), int(y)) for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+
+
+def test_simhash_finds_every_link(spark):
+    # the fingerprints of sf0.1 and of each a copy at exactly 22 bits, all pairs by brute force
+    rows = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("f0", "f1").distinct().collect()
+    f = np.array(sorted(map(tuple, rows)), np.int64).view(np.uint64)
+    flips = np.zeros((len(f), 128), np.uint8)
+    np.put_along_axis(flips, np.random.default_rng(22).random(flips.shape).argsort(1)[:, : simhash.MOST_BITS], 1, 1)
+    f = np.unique(np.vstack([f, f ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)]), axis=0)
+    want = np.array([np.count_nonzero(np.bitwise_count(f ^ own).sum(1, dtype=np.int16) <= simhash.MOST_BITS) - 1 for own in f])
+    table = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(f.view(np.int64))], "rep bigint, f0 bigint, f1 bigint")
+    got = np.zeros(len(f), int)
+    for r in simhash.near(table, len(f)).collect():
+        got[r.node] += r.links
+    assert np.array_equal(got, want)
 
 
 def test_simhash_manhattan_is_a_lower_bound():
