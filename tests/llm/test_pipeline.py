@@ -98,3 +98,16 @@ def test_ties_go_to_the_least_id(spark):
     text = "one line of an ordinary text that has words enough to tell the language of it\nand another one that is like it but not the same"
     rows = [(i, text.replace("one", f"one{i}", 1) + "\n" + "tail " * i, "en", "a") for i in (7, 3, 5)]
     assert [r.doc_id for r in P.near_dedup(spark, docs(spark, rows, extra=True), SMALL).collect()] == [3]
+
+
+def test_near_dedup_misses_no_pair(spark, monkeypatch):
+    # 3000 pairs of documents whose fingerprints differ in exactly the bits that are allowed
+    rng = np.random.default_rng(4)
+    flips = np.zeros((3000, 128), np.uint8)
+    np.put_along_axis(flips, rng.random(flips.shape).argsort(1)[:, : simhash.MOST_BITS], 1, 1)
+    a = rng.integers(0, 256, (3000, 16), np.uint8)
+    f = np.stack([a, a ^ np.packbits(flips, axis=1)], axis=1).reshape(6000, 16).view(np.int64)
+    prints = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(f)], "doc_id bigint, f0 bigint, f1 bigint")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
+    table = docs(spark, [(i, f"text {i}", "en", "a") for i in range(6000)])
+    assert sorted(r.doc_id for r in P.near_dedup(spark, table, SMALL).collect()) == list(range(0, 6000, 2))
