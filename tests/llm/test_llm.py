@@ -476,6 +476,21 @@ def test_quality_contradicting_labels_count_as_bad_and_none_keep_all(spark):
     assert all(r.keep for r in quality.score(table, labels.where("false")).collect())
 
 
+def test_quality_threshold_comes_from_all_labelled_rows(spark, monkeypatch):
+    # 24,000 labelled documents; the threshold by brute force over all of one half, ranked in several ranges
+    rng = random.Random(9)
+    table = docs(spark, [(i, " ".join(rng.choice(("|", "#x", "Word", "plain", "of")) for _ in range(rng.randrange(1, 30))), "en", "a") for i in range(24000)])
+    labels = table.selectExpr("doc_id", "cast(hash(text) % 3 <> 0 as int) as quality")
+    monkeypatch.setattr(quality, "RANKED", 1000, raising=False)
+    forest, most = quality.fit(table, labels)
+    values, good, half = quality.labelled(table, labels)
+    assert len(values) == 24000
+    score = forest.scores(values[half == 1])
+    at, good = np.unique(score)[::-1], good[half == 1]
+    above = lambda x: (len(x) - np.searchsorted(np.sort(x), at, "right")) / len(x)
+    assert most == at[np.argmax(above(score[good == 0]) - quality.LOST_WEIGHT * above(score[good == 1]))]
+
+
 def test_isolation_forest_finds_an_outlier():
     rng = np.random.default_rng(1)
     rows = rng.normal(size=(500, 3))
