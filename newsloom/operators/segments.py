@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions import scan
 from newsloom.functions import text as T
-from newsloom.functions.arrays import running_sum
 
 FLAGS = ("short", "empty")
 CARRIED = ("outlet", "show", "date")
@@ -21,10 +21,9 @@ def bad_breaks(breaks: Column, n: Column) -> Column:
 
 
 def checked(docs: DataFrame) -> DataFrame:
-    """docs with _pieces (words with the white space after them), computed once, and error: null, or why the record can't be cut."""
+    """docs with _n (words), counted once, and error: null, or why the record can't be cut."""
     # pinned: a count written into the lambda over breaks would be taken once for each break
-    cut = T.pin(docs, _pieces=T.pieces(F.col("body")))
-    cut = T.pin(cut, _n=F.size("_pieces").cast("bigint"))
+    cut = T.pin(docs.withColumn("_words", T.word_count(F.col("body"))), _n=F.col("_words").cast("bigint")).drop("_words")
     why = F.when(F.col("body").isNull(), "transcript has no usable body").when(F.instr("record_id", "#") > 0, "record_id holds '#'").otherwise(bad_breaks(F.col("breaks"), F.col("_n")))
     return cut.withColumn("error", why)
 
@@ -34,21 +33,13 @@ def to_segments(docs: DataFrame, min_words: int | None = None, include_text: boo
 
     Breaks are sorted and made distinct.  A record that can't be cut gives no
     row here; `segment_errors` names it.  Texts keep the white space after each
-    word, so a record's texts joined are its body; offsets come from the sizes
-    of words, so that no text is made where none is asked for.
+    word, so a record's texts joined are its body; no text is made where none is
+    asked for.
     """
     good = checked(docs).where("error is null")
-    base = T.pin(good.select("record_id", *carry, "_n", "_pieces", "breaks", "body"), _lead=T.lead(F.col("body")), _sizes=F.transform("_pieces", F.length), _cuts=F.array_sort(F.array_distinct("breaks"))).drop("body")
-    zero = F.array(F.lit(0).cast("bigint"))
-    edges = F.arrays_zip(F.concat(zero, F.col("_cuts")).alias("a"), F.concat(F.col("_cuts"), F.array("_n")).alias("b"))
-    part = lambda column, e: F.slice(column, (e["a"] + 1).cast("int"), (e["b"] - e["a"]).cast("int"))
-    own = [lambda e, i: e["a"].alias("a"), lambda e, i: e["b"].alias("b"), lambda e, i: (F.aggregate(part("_sizes", e), F.lit(0), lambda s, x: s + x) + F.when(i == 0, F.length("_lead")).otherwise(0)).alias("length")]
-    if include_text:
-        own.append(lambda e, i: F.concat(F.when(i == 0, F.col("_lead")).otherwise(""), F.array_join(part("_pieces", e), "")).alias("text"))
-    rows = T.pin(base, _s=F.transform(edges, lambda e, i: F.struct(*[f(e, i) for f in own]))).select("record_id", *carry, F.size("_cuts").cast("bigint").alias("n_cuts"), "_s")
-    rows = rows.withColumn("_ends", running_sum(F.col("_s.length")))
-    rows = rows.select("record_id", *carry, "n_cuts", F.posexplode(F.arrays_zip(F.col("_s").alias("s"), F.col("_ends").alias("end"))).alias("_i", "x"))
-    length = F.col("x.s.b") - F.col("x.s.a")
+    base = T.pin(good.select("record_id", *carry, "breaks", "body"), _cuts=F.array_sort(F.array_distinct("breaks")))
+    rows = base.withColumn("_s", scan.cut(F.col("body"), F.col("_cuts"), include_text)).select("record_id", *carry, F.size("_cuts").cast("bigint").alias("n_cuts"), F.posexplode("_s").alias("_i", "x"))
+    length = F.col("x.b") - F.col("x.a")
     none = F.array().cast("array<string>")
     short = F.when(length < min_words, F.array(F.lit("short"))).otherwise(none) if min_words is not None else none
     index = F.col("_i").cast("bigint")
@@ -56,13 +47,13 @@ def to_segments(docs: DataFrame, min_words: int | None = None, include_text: boo
         T.segment_id(F.col("record_id"), index).alias("segment_id"),
         "record_id",
         index.alias("index"),
-        F.col("x.s.a").alias("word_start"),
-        F.col("x.s.b").alias("word_end"),
-        (F.col("x.end") - F.col("x.s.length")).alias("char_start"),
+        F.col("x.a").alias("word_start"),
+        F.col("x.b").alias("word_end"),
+        F.col("x.begin").alias("char_start"),
         F.col("x.end").alias("char_end"),
         length.alias("n_words"),
         "n_cuts",
-        *([F.col("x.s.text").alias("text")] if include_text else []),
+        *([F.col("x.text").alias("text")] if include_text else []),
         F.when(length == 0, F.array(F.lit("empty"))).otherwise(short).alias("flags"),
         *carry,
     )
@@ -94,10 +85,21 @@ def require_full(segments: DataFrame) -> DataFrame:
 
 def drop_flagged(segments: DataFrame, flags: tuple[str, ...] = FLAGS) -> tuple[DataFrame, DataFrame]:
     """Kept and dropped rows."""
-    hit = F.arrays_overlap("flags", F.array(*[F.lit(f) for f in flags])) if flags else F.lit(False)
+    hit = flagged(flags)
     return segments.where(~hit), segments.where(hit)
 
 
+def flagged(flags: tuple[str, ...] = FLAGS) -> Column:
+    return F.arrays_overlap("flags", F.array(*[F.lit(f) for f in flags])) if flags else F.lit(False)
+
+
+def drop_counts(segments: DataFrame, flags: tuple[str, ...] = FLAGS) -> DataFrame:
+    """One row: n_kept, n_dropped, and n_vanished (records all of whose segments are dropped); the segments are read once."""
+    own = segments.select("record_id", flagged(flags).alias("_hit")).groupBy("record_id").agg(F.count_if(~F.col("_hit")).alias("_kept"), F.count_if("_hit").alias("_dropped"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
+    return own.agg(total("_kept").alias("n_kept"), total("_dropped").alias("n_dropped"), F.count_if(F.col("_kept") == 0).alias("n_vanished"))
+
+
 def group_by_record(segments: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """record_id and its segments as an array in index order."""
     return segments.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("index", *[f for f in fields if f != "index"]))).alias("segments"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions import scan
 from newsloom.functions import text as T
 
 
@@ -27,10 +28,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, doc_id, body, outlet, show, n (words), breaks (gold: words at line starts), run_a, run_b."""
     docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
     base = docs.select(F.col("doc_id").cast("string").alias("record_id"), "doc_id", F.col("text").alias("body"), F.col("source").alias("outlet"), F.col("lang").alias("show"))
-    base = T.pin(base, pieces=T.pieces(F.col("body")))
-    base = base.withColumn("n", F.size("pieces").cast("bigint"))
-    ends = F.transform("pieces", lambda p, i: F.when(F.contains(p, F.lit("\n")), (i + 1).cast("bigint")))
-    base = T.pin(base, breaks=F.filter(ends, lambda b: b.isNotNull() & (b < F.col("n")))).drop("pieces")
+    base = T.pin(base.withColumn("_scan", scan.line_starts(F.col("body"))), n=F.col("_scan.n"), breaks=F.col("_scan.breaks")).drop("_scan")
     return T.pin(base, run_a=_run(7, 31, 17, 61, 97, 13, 5), run_b=_run(11, 13, 7, 41, 53, 29, 4))
 
 
