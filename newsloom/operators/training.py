@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import anchors as A
+from newsloom.functions import scan
 from newsloom.functions import scoring as S
 from newsloom.functions import text as T
 from newsloom.functions.arrays import bisect_left
@@ -257,7 +258,7 @@ def mine_errors(aligned: DataFrame, tolerance: int = 25, context: int = 60) -> D
     aligned: record_id, body, breaks, pred_breaks.  Which boundaries were matched goes by value: where a matched value repeats, none of its copies is an error.
     """
     base = aligned.withColumns({"breaks": F.array_sort("breaks"), "pred_breaks": F.array_sort("pred_breaks")})
-    m = T.pin(metrics.match_documents(base, tolerance), _w=T.words(F.col("body")))
+    m = T.pin(metrics.match_documents(base, tolerance).withColumn("_words", scan.words(F.col("body"))), _w=F.col("_words")).drop("_words")
     away = lambda x, others: F.array_min(F.transform(others, lambda o: F.abs(x - o)))
     missed = F.filter("breaks", lambda b: ~F.array_contains(F.col("match.pairs.gold"), b))
     extra = F.filter("pred_breaks", lambda b: ~F.array_contains(F.col("match.pairs.pred"), b))
