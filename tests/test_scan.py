@@ -89,3 +89,13 @@ def test_documents_are_read_once_and_no_words_by_regular_expressions(spark, name
 def test_windows_are_scored_once(spark):
     made = plan(spark, "segment_documents")
     assert made.count("MapInArrow") == 1 and made.count("parquet") == 2
+
+
+def test_text_queries_have_small_batches(spark):
+    import __spark_entry__ as entry
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for name, most in (("word_to_token_index", "2000"), ("op6_language_id", "10000"), ("word_char_starts", "2000")):
+        entry.queries()[name](spark, SMALL)
+        assert spark.conf.get(rows) == most
+    entry.queries()["op6_language_id"](spark, SMALL)
