@@ -35,15 +35,12 @@ def cuts(transcripts: DataFrame, predictions: DataFrame, carry: tuple[str, ...]
 def merged(rows: DataFrame, drop_flagged: bool = False) -> DataFrame:
     """record_id, body, word_count, outcome (rebuilt, failed or vanished), error: one row for each record that went in.
 
-    A record all of whose segments are dropped has no group left to be merged,
-    so the records are counted before anything is dropped.
+    Flagged segments are left out of the groups, not of the rows, so that a record
+    all of whose segments are dropped still has a group; the rows are read once.
     """
-    full = segments.require_full(rows)
-    kept = segments.drop_flagged(full)[0] if drop_flagged else full
-    out = segments.merge_segments(kept)
-    out = out.select("record_id", "body", "word_count", F.when(F.col("error").isNull(), "rebuilt").otherwise("failed").alias("outcome"), "error")
-    gone = segments.vanished(full, kept).select("record_id", F.lit(None).cast("string").alias("body"), F.lit(None).cast("bigint").alias("word_count"), F.lit("vanished").alias("outcome"), F.lit("every segment was dropped").alias("error"))
-    return out.unionByName(gone)
+    out = segments.merge_segments(rows, keep=~segments.flagged() if drop_flagged else None)
+    outcome = F.when(F.col("error").isNull(), "rebuilt").when(F.col("error") == segments.GONE, "vanished").otherwise("failed")
+    return out.select("record_id", "body", "word_count", outcome.alias("outcome"), "error")
 
 
 def scored(gold: DataFrame, pred: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from newsloom.functions import scan
 from newsloom.functions import text as T
 
 FLAGS = ("short", "empty")
+GONE = "every segment was dropped"
 CARRIED = ("outlet", "show", "date")
 MINIMAL = ("record_id", "segment_id", "text", "n_cuts")
 _FLAT = ("segment_id", "record_id", "index", "word_start", "word_end", "char_start", "char_end", "n_words", "n_cuts")
@@ -100,20 +101,22 @@ def drop_counts(segments: DataFrame, flags: tuple[str, ...] = FLAGS) -> DataFram
     return own.agg(total("_kept").alias("n_kept"), total("_dropped").alias("n_dropped"), F.count_if(F.col("_kept") == 0).alias("n_vanished"))
 
 
-def group_by_record(segments: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """record_id and its segments as an array in index order."""
-    return segments.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("index", *[f for f in fields if f != "index"]))).alias("segments"))
+def group_by_record(segments: DataFrame, fields: tuple[str, ...], keep: Column | None = None) -> DataFrame:
+    """record_id and its segments as an array in index order; of a record none of whose segments are kept an empty one."""
+    own = F.struct("index", *[f for f in fields if f != "index"])
+    return segments.groupBy("record_id").agg(F.sort_array(F.collect_list(own if keep is None else F.when(keep, own))).alias("segments"))
 
 
-def merge_segments(segments: DataFrame, check_tail: bool = False) -> DataFrame:
+def merge_segments(segments: DataFrame, check_tail: bool = False, keep: Column | None = None) -> DataFrame:
     """record_id, body, word_count, error: the document, or the first reason that it can't be rebuilt.
 
     Reasons, in this order: missing or repeated indices; a text left out; then
     segment by segment a text that doesn't fit its span, or a gap.  Offsets alone
     are checked before any text is joined.  check_tail also refuses records
-    whose last segments are missing, by n_cuts.
+    whose last segments are missing, by n_cuts.  With keep the other segments are
+    dropped, and a record that has no more of them is GONE.
     """
-    grouped = group_by_record(require_full(segments), ("index", "char_start", "char_end", "text", "n_cuts"))
+    grouped = group_by_record(require_full(segments), ("index", "char_start", "char_end", "text", "n_cuts"), keep)
     seg = F.col("segments")
     in_order = F.forall(F.transform(seg, lambda s, i: s["index"] == i), lambda x: x)
     no_text = F.exists(seg, lambda s: (s["text"] == "") & (s["char_end"] > s["char_start"]))
@@ -127,6 +130,8 @@ def merge_segments(segments: DataFrame, check_tail: bool = False) -> DataFrame:
     error = F.when(~in_order, "segments are missing or duplicated").when(no_text, "segments carry no text").when(first_fault.isNotNull(), first_fault)
     if check_tail:
         error = F.when(in_order & (F.get(seg, F.lit(0))["n_cuts"] + 1 != F.size(seg)), "last segments are missing").otherwise(error)
+    if keep is not None:
+        error = F.when(F.size(seg) == 0, GONE).otherwise(error)
     checked = grouped.withColumn("error", error)
     body = F.when(F.col("error").isNull(), F.array_join(F.transform(seg, lambda s: s["text"]), ""))
     return checked.select("record_id", body.alias("body"), "error").select("record_id", "body", T.word_count(F.col("body")).cast("bigint").alias("word_count"), "error")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import anchors as A
 from newsloom.functions import arrays, scan
 from newsloom.functions import text as T
-from newsloom.operators import windows
+from newsloom.operators import accounting, windows
 from newsloom.plans import catalog
 
 TEXTS = [None, "", " ", "a", " a\n\nb\u00a0c\u3000 ", "\n\n", "\u00e9t\u00e9\u2009\u4e2d\u6587\u3001\u5b57\u200b x\ty \U0001f600", "a\u0085b\u1680c\u2028d\u205fe\u202ff", "x" * 50, "one two.\nThree \r\n\nfour\n"]
@@ -80,7 +80,7 @@ def plan(spark, name):
     return catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["drop_flagged_accounting", "word_to_token_index", "localize_anchors", "window_scores", "parse_anchors", "training_targets"])
+@pytest.mark.parametrize("name", ["drop_flagged_accounting", "merge_accounting", "word_to_token_index", "localize_anchors", "window_scores", "parse_anchors", "training_targets"])
 def test_documents_are_read_once_and_no_words_by_regular_expressions(spark, name):
     made = plan(spark, name)
     assert made.count("parquet") == 1 and "regexp_extract_all" not in made
@@ -99,3 +99,10 @@ def test_text_queries_have_small_batches(spark):
         entry.queries()[name](spark, SMALL)
         assert spark.conf.get(rows) == most
     entry.queries()["op6_language_id"](spark, SMALL)
+
+
+def test_flags_drop_whole_records(spark):
+    rows = spark.createDataFrame([("a", 0, 0, 1, "x", []), ("a", 1, 1, 2, "y", ["short"]), ("b", 0, 0, 1, "x", ["short"]), ("c", 0, 0, 1, "x", ["short"]), ("c", 1, 1, 2, "y", [])], "record_id string, index bigint, char_start bigint, char_end bigint, text string, flags array<string>")
+    rows = rows.withColumns({"word_start": F.col("index"), "word_end": F.col("index") + 1, "n_cuts": F.lit(1)})
+    got = {r.record_id: (r.body, r.outcome, r.error) for r in accounting.merged(rows, drop_flagged=True).collect()}
+    assert got == {"a": ("x", "rebuilt", None), "b": (None, "vanished", "every segment was dropped"), "c": (None, "failed", "segments are missing or duplicated")}
