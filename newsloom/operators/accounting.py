@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators import metrics, segments
+from newsloom.operators import segments
 
 CARRIED = segments.CARRIED
 
@@ -45,15 +45,19 @@ def merged(rows: DataFrame, drop_flagged: bool = False) -> DataFrame:
 
 def scored(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """One row: n_gold, n_pred, n_shared, n_absent (gold without prediction), at_stake (their breaks), n_orphans (the reverse), n_drift."""
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    absent = metrics.absent_gold(gold, pred).agg(F.count(F.lit(1)).alias("n_absent"), F.coalesce(F.sum(F.size("breaks")), F.lit(0)).alias("at_stake"))
-    shared = count(gold.select("record_id").intersect(pred.select("record_id")), "n_shared")
-    parts = [count(gold, "n_gold"), count(pred, "n_pred"), shared, absent, count(metrics.orphans(gold, pred), "n_orphans"), count(metrics.drift(gold, pred), "n_drift")]
-    out = parts[0]
-    for part in parts[1:]:
-        # each is one row
-        out = out.crossJoin(part)
-    return out
+    side = lambda df, g, p, breaks: df.select("record_id", F.col("word_count").alias("w"), F.lit(g).alias("g"), F.lit(p).alias("p"), breaks.alias("s"))
+    both = side(gold, 1, 0, F.size("breaks")).unionByName(side(pred, 0, 1, F.lit(0)))
+    words = both.groupBy("record_id", "w").agg(*[F.sum(c).alias(c) for c in "gps"])
+    told = lambda c: F.coalesce(F.sum(F.when(F.col("w").isNotNull(), c)), F.lit(0))
+    own = words.groupBy("record_id").agg(*[F.sum(c).alias(c) for c in "gps"], (told(F.col("g")) * told(F.col("p")) - told(F.col("g") * F.col("p"))).alias("d"))
+    # a null id is nobody's
+    alone = lambda c: F.col("record_id").isNull() | (F.col(c) == 0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
+    return own.agg(
+        total("g").alias("n_gold"), total("p").alias("n_pred"), F.count_if((F.col("g") > 0) & (F.col("p") > 0)).alias("n_shared"),
+        total(F.when(alone("p"), F.col("g"))).alias("n_absent"), total(F.when(alone("p"), F.col("s"))).alias("at_stake"),
+        total(F.when(alone("g"), F.col("p"))).alias("n_orphans"), total(F.when(F.col("record_id").isNotNull(), F.col("d"))).alias("n_drift"),
+    )
 
 
 def expected(rows: DataFrame, gold: DataFrame) -> DataFrame:

@@ -101,6 +101,17 @@ def test_text_queries_have_small_batches(spark):
     entry.queries()["op6_language_id"](spark, SMALL)
 
 
+def test_score_accounting_reads_each_side_once(spark):
+    assert plan(spark, "score_accounting").count("parquet") == 2
+
+
+def test_scored_counts_pairs_of_repeated_and_null_ids(spark):
+    gold = spark.createDataFrame([("a", 1, [1, 2]), ("a", 2, [3]), ("b", 5, [1]), (None, 1, [7]), ("c", None, [])], "record_id string, word_count bigint, breaks array<bigint>")
+    pred = spark.createDataFrame([("a", 1), ("a", 9), (None, 2), ("c", 4), ("z", 1)], "record_id string, word_count bigint")
+    got = accounting.scored(gold, pred).first().asDict()
+    assert got == {"n_gold": 5, "n_pred": 5, "n_shared": 3, "n_absent": 2, "at_stake": 2, "n_orphans": 2, "n_drift": 3}
+
+
 def test_flags_drop_whole_records(spark):
     rows = spark.createDataFrame([("a", 0, 0, 1, "x", []), ("a", 1, 1, 2, "y", ["short"]), ("b", 0, 0, 1, "x", ["short"]), ("c", 0, 0, 1, "x", ["short"]), ("c", 1, 1, 2, "y", [])], "record_id string, index bigint, char_start bigint, char_end bigint, text string, flags array<string>")
     rows = rows.withColumns({"word_start": F.col("index"), "word_end": F.col("index") + 1, "n_cuts": F.lit(1)})
