@@ -21,7 +21,7 @@ def _run(keep: int, mul: int, step: int, width: int, extra_mul: int, extra_add:
     kept = F.filter("breaks", lambda b: (d + b) % keep != 0)
     moved = F.transform(kept, lambda b: b + ((d * mul + b * step) % width) - width // 2)
     extra = F.when(d % every == 0, F.array((d * extra_mul + extra_add) % n)).otherwise(F.array().cast("array<bigint>"))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(moved, extra), lambda p: (p > 0) & (p < n))))
+    return F.array_sort(F.array_distinct(F.filter(F.filter(F.concat(moved, extra), lambda p: p > 0), lambda p: p < n)))
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
